@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.timeparse import range_bounds
-from ..operators import incremental, intervals, panes, readings
+from ..operators import grid, incremental, intervals, panes, readings, spikes
 from ..sources.tables import load
 
 LONGEST_GAP_US = 72 * 3_600_000_000
@@ -43,8 +43,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return intervals.periods_and_gaps(rows, ["device_id", "annotation_label"], LONGEST_GAP_US)
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return grid.filled_slots(load(spark, d, "unpacked_ppg"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return spikes.implausible(spikes.sensor_rows(load(spark, d, "unpacked_imu"), load(spark, d, "unpacked_eda")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_periods, p2_found, p2_processed, p3_found, p4_found)}
+    return {f.__name__: f for f in (p1_found, p1_periods, p2_found, p2_processed, p3_found, p4_found, p5_found, p6_found)}
 
 
 EFFECTIVE = """
@@ -102,6 +110,11 @@ def oracle_sql() -> dict[str, str]:
             select s.registry, e.row_id from effective e join specs s on e.data_spec_name = s.data_spec_name
             where not exists (select 1 from merged m where m.registry = s.registry and e.arrival_us >= m.start_us and e.arrival_us < m.end_us)""",
         "p2_processed": f"with {PROCESSED} select registry, start_us, end_us from merged",
+        "p5_found": """with usable as (
+              select data_point_metadata.device_id as device_id, epoch_us(measurement_timestamp_utc) as t from unpacked_ppg
+              where data_point_metadata.device_id is not null and measurement_timestamp_utc is not null and green is not null and not isnan(green)),
+            pairs as (select device_id, t, lag(t) over (partition by device_id order by t) as before from usable)
+            select device_id, unnest(range(before // 5000000 + 1, t // 5000000)) * 5000 as slot_start_ms from pairs where t - before <= 120000000""",
         "p4_found": f"""with intervals as (
               select annotation_metadata.device_id as device_id, annotation_label, epoch_us(start_timestamp_utc) as start_us, epoch_us(end_timestamp_utc) as end_us
               from annotation where annotation_metadata.device_id is not null and annotation_label is not null and end_timestamp_utc > start_timestamp_utc),

@@ -9,7 +9,7 @@ from .zones import FIRST_YEAR, LAST_YEAR, abbreviation_offset, device_zones, fix
 
 # A text is rewritten to eleven fields, parted by bars: style, year, month, day, hour, minute, second, fraction, half of
 # the day, offset, zone. Style: d (month known), n (numeric date whose order is the origin's; year, first, second).
-TIME = r"(?:[Tt\s]\s*(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?(?:\s*([AaPp])\.?[Mm]\.?)?)?"
+TIME = r"(?:[Tt\s]\s*(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?(?:\s*([AaPp])\.?[Mm]\b\.?)?)?"
 ZONE = r"\s*([Zz]|(?:(?:UTC|GMT|UT)\s*)?[+-]\d{1,2}(?::?\d{2})?)?\s*(?:\[?([A-Za-z][A-Za-z0-9_/+-]*)\]?)?"
 WEEKDAY = r"(?:[A-Za-z]{3,9}\.?,?\s+)?"
 MONTH = r"(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?"

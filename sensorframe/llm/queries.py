@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import load
-from . import nearest, tokens
+from . import nearest, packing, tokens
 
 TOLERANCE_US = 500_000
 
@@ -19,8 +19,12 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(load(spark, d, "documents"))
 
 
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(tokens.token_lengths(load(spark, d, "documents")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p7_found, p8_ids)}
+    return {f.__name__: f for f in (p7_found, p8_ids, p9_containers)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import load
-from . import nearest, packing, tokens
+from . import nearest, packing, tokens, truncation
 
 TOLERANCE_US = 500_000
 
@@ -23,8 +23,20 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(tokens.token_lengths(load(spark, d, "documents")))
 
 
+def p9_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.container_fill(p9_containers(spark, d))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cut_documents(load(spark, d, "documents"))
+
+
+def p10_sources(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cut_share(load(spark, d, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p7_found, p8_ids, p9_containers)}
+    return {f.__name__: f for f in (p7_found, p8_ids, p9_containers, p9_fill, p10_found, p10_sources)}
 
 
 def oracle_sql() -> dict[str, str]:

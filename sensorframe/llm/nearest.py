@@ -106,6 +106,7 @@ def join_nearest(left: DataFrame, right: DataFrame, tolerance_us: int, slice_us:
     Spark splits skewed keys. Keys are worked on in slices of time, with right rows of `tolerance_us` around them.
     """
     ok = "key is not null and id is not null and at_us is not null"
+    left = left.select("key", "id", "at_us")  # extra columns stay out
     times = left.where(ok).groupBy("key", "at_us").agg(F.count(F.lit(1)).alias("n")).select("key", "at_us", F.lit(False).alias("is_right"), F.lit(0).cast("long").alias("right_id"))
     rights = right.where(ok).groupBy("key", "at_us").agg(F.min("id").alias("right_id")).select("key", "at_us", F.lit(True).alias("is_right"), "right_id")
     lefts = times.withColumn("slice", F.floor(F.col("at_us") / slice_us))

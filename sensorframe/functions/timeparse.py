@@ -58,13 +58,13 @@ def days_in_month(y: Column, m: Column) -> Column:
 
 
 def origin_orders(fields: DataFrame, by: str) -> DataFrame:
-    """`by` and day_first: the order of numeric dates of each origin, by its dates that can be read in one way only.
+    """`by` and _day_first: the order of numeric dates of each origin, by its dates that can be read in one way only.
 
     Dates that are impossible in either order are no evidence. An origin without evidence reads month first.
     """
     a, b = F.col("month").cast("int"), F.col("day").cast("int")
     votes = F.sum(F.when(a.between(13, 31) & b.between(1, 12), 1).when(b.between(13, 31) & a.between(1, 12), -1).otherwise(0))
-    return fields.where("style = 'n'").groupBy(by).agg((votes > 0).alias("day_first"))
+    return fields.where("style = 'n'").groupBy(by).agg((votes > 0).alias("_day_first"))
 
 
 def normalize_times(df: DataFrame, text: str, origin: str, device: str, data_source: DataFrame) -> DataFrame:
@@ -85,10 +85,10 @@ def normalize_times(df: DataFrame, text: str, origin: str, device: str, data_sou
     parsed = df.withColumn("_t", t).withColumns({"_number": number_ns(F.col("_t")), "_f": split_fields(F.col("_t"))})
     parsed = parsed.select("*", *[F.get("_f", F.lit(i)).alias(f"_{f}") for i, f in enumerate(FIELDS)])
     orders = origin_orders(parsed.select(F.col(origin).alias("_origin"), F.col("_style").alias("style"), F.col("_month").alias("month"), F.col("_day").alias("day")), "_origin")
-    own = device_zones(data_source, zones).withColumnRenamed("device_id", "_device")
+    own = device_zones(data_source, zones).withColumnsRenamed({"device_id": "_device", "device_zone": "_device_zone"})
     parsed = parsed.join(orders, parsed[origin].eqNullSafe(orders["_origin"]), "left").join(own, parsed[device] == own["_device"], "left")
 
-    swap = (F.col("_style") == "n") & F.coalesce("day_first", F.lit(False))
+    swap = (F.col("_style") == "n") & F.coalesce("_day_first", F.lit(False))
     month_text, day_text = F.when(swap, F.col("_day")).otherwise(F.col("_month")), F.when(swap, F.col("_month")).otherwise(F.col("_day"))
     named = F.expr("(instr('janfebmaraprmayjunjulaugsepoctnovdec', lower(substring(_month, 1, 3))) + 2) div 3")
     num = lambda c: F.when(F.length(c) > 0, c.cast("int")).otherwise(0)
@@ -103,7 +103,7 @@ def normalize_times(df: DataFrame, text: str, origin: str, device: str, data_sou
     said = F.when(F.length("_offset") > 0, F.when(F.upper("_offset") == "Z", 0).otherwise(fixed_offset(F.upper("_offset"))))
     zone = F.when(F.length("_zone") > 0, F.col("_zone"))
     unzoned = (F.length("_offset") == 0) & zone.isNull()
-    use = F.when(unzoned, F.coalesce("device_zone", F.lit("UTC"))).when(F.length("_offset") == 0, zone)
+    use = F.when(unzoned, F.coalesce("_device_zone", F.lit("UTC"))).when(F.length("_offset") == 0, zone)
     parsed = parsed.withColumns({"_wall": F.when(sane, wall).cast("long"), "_said": said, "_use": use})
     parsed = parsed.withColumn("_fixed", F.coalesce("_said", fixed_offset(F.upper("_use")), abbreviation_offset(F.col("_use"))))
     year_key = F.when(F.col("_fixed").isNull(), F.greatest(F.lit(FIRST_YEAR), F.least(F.lit(LAST_YEAR), F.col("_y"))))

@@ -88,7 +88,7 @@ def fixed_offset(text: Column) -> Column:
     n = F.length(digits)
     hours = F.when(n <= 2, digits.cast("int")).when(n == 3, F.substring(digits, 1, 1).cast("int")).otherwise(F.substring(digits, 1, 2).cast("int"))
     minutes = F.when(n <= 2, F.lit(0)).when(n == 3, F.substring(digits, 2, 2).cast("int")).otherwise(F.substring(digits, 3, 2).cast("int"))
-    return F.when(clean.rlike(f"^{FIXED}$"), sign * (hours * 3600 + minutes * 60))
+    return F.when(clean.rlike(f"^{FIXED}\\z"), sign * (hours * 3600 + minutes * 60))
 
 
 def abbreviation_offset(text: Column) -> Column:

@@ -121,19 +121,19 @@ def annotation_intervals(annotation: DataFrame) -> DataFrame:
 
 
 def cover_table(merged: DataFrame, keys: Sequence[str], bucket_us: int) -> DataFrame:
-    """For each key and time bucket the parts of disjoint intervals in it: columns keys, bucket, parts (array of s, e).
+    """For each key and time bucket the parts of disjoint intervals in it: columns keys, _bucket, _parts (array of s, e).
 
     Many narrow rows in place of few wide ones: a point meets one row at most, whichever way Spark joins them.
     """
-    b = F.explode(F.sequence(F.floor(F.col("start_us") / bucket_us), F.floor((F.col("end_us") - 1) / bucket_us))).alias("bucket")
-    return merged.select(*keys, "start_us", "end_us", b).groupBy(*keys, "bucket").agg(F.collect_list(F.struct(F.col("start_us").alias("s"), F.col("end_us").alias("e"))).alias("parts"))
+    b = F.explode(F.sequence(F.floor(F.col("start_us") / bucket_us), F.floor((F.col("end_us") - 1) / bucket_us))).alias("_bucket")
+    return merged.select(*keys, "start_us", "end_us", b).groupBy(*keys, "_bucket").agg(F.collect_list(F.struct(F.col("start_us").alias("s"), F.col("end_us").alias("e"))).alias("_parts"))
 
 
 def outside(points: DataFrame, merged: DataFrame, keys: Sequence[str], at: str, bucket_us: int) -> DataFrame:
     """Points (with a time column `at`, us) that lie in no interval of their keys."""
     cover = cover_table(merged, keys, bucket_us)
-    df = points.withColumn("bucket", F.floor(F.col(at) / bucket_us)).join(cover, [*keys, "bucket"], "left")
-    hit = F.exists("parts", lambda p: (F.col(at) >= p["s"]) & (F.col(at) < p["e"]))
-    return df.where(F.col("parts").isNull() | ~hit).drop("bucket", "parts")
+    df = points.withColumn("_bucket", F.floor(F.col(at) / bucket_us)).join(cover, [*keys, "_bucket"], "left")
+    hit = F.exists("_parts", lambda p: (F.col(at) >= p["s"]) & (F.col(at) < p["e"]))
+    return df.where(F.col("_parts").isNull() | ~hit).drop("_bucket", "_parts")
 
 

@@ -36,36 +36,37 @@ class PaneSpec:
 
 
 def pane_partials(events: DataFrame, keys: Sequence[str], spec: PaneSpec, event: str, arrival: str, count: Column, total: Column) -> DataFrame:
-    """One row for each key, pane and class of lateness: columns pane, first, last (covering windows' numbers), published
-    and closed (the highest window number already published or closed when the events came), events, n and total."""
-    start = F.floor(F.col(event) / spec.pane) * spec.pane
-    df = events.withColumn("pane", start)
-    df = df.withColumns({"last": F.floor(F.col("pane") / spec.slide), "first": F.floor((F.col("pane") - spec.size) / spec.slide) + 1})
+    """One row for each key, pane and class of lateness: columns _pane, _first, _last (covering windows' numbers), _published
+    and _closed (the highest window number already published or closed when the events came), _events, _n and _total."""
+    df = events.select(*keys, F.col(event).alias("_event"), F.col(arrival).alias("_arrival"), count.alias("_n"), total.alias("_total"))
+    start = F.floor(F.col("_event") / spec.pane) * spec.pane
+    df = df.withColumns({"_last": F.floor(start / spec.slide), "_first": F.floor((start - spec.size) / spec.slide) + 1, "_pane": start})
 
     def reached(delay: int) -> Column:  # bounded by the windows over the pane, so few classes exist
-        m = F.floor((F.col(arrival) - spec.size - delay) / spec.slide)
-        return F.greatest(F.col("first") - 1, F.least(F.col("last"), m))
+        m = F.floor((F.col("_arrival") - spec.size - delay) / spec.slide)
+        return F.greatest(F.col("_first") - 1, F.least(F.col("_last"), m))
 
-    df = df.withColumns({"published": reached(spec.publish), "closed": reached(spec.close)})
-    return df.where("first <= last").groupBy(*keys, "pane", "first", "last", "published", "closed").agg(F.count(F.lit(1)).alias("events"), F.sum(count).alias("n"), F.sum(total).alias("total"))
+    df = df.withColumns({"_published": reached(spec.publish), "_closed": reached(spec.close)})
+    by = [*keys, "_pane", "_first", "_last", "_published", "_closed"]
+    return df.where("_first <= _last").groupBy(*by).agg(F.count(F.lit(1)).alias("_events"), F.sum("_n").alias("_n"), F.sum("_total").alias("_total"))
 
 
 def compose_windows(partials: DataFrame, keys: Sequence[str], spec: PaneSpec) -> DataFrame:
     """Windows from panes. Columns: keys, window_start_us, n_initial, total_initial (as published), n_final, total_final
     (as closed), late_events (that corrected the window) and dropped_events (past the cut-off)."""
-    df = partials.withColumn("window", F.explode(F.sequence("first", "last")))
-    late, dropped = F.col("published") >= F.col("window"), F.col("closed") >= F.col("window")
+    df = partials.withColumn("_window", F.explode(F.sequence("_first", "_last")))
+    late, dropped = F.col("_published") >= F.col("_window"), F.col("_closed") >= F.col("_window")
 
-    def total(c: str, keep: Column | None) -> Column:
-        return F.sum(F.col(c) if keep is None else F.when(keep, F.col(c)).otherwise(F.lit(0)))
+    def total(c: str, keep: Column) -> Column:
+        return F.sum(F.when(keep, F.col(c)).otherwise(F.lit(0)))
 
     return (
-        df.groupBy(*keys, "window")
+        df.groupBy(*keys, "_window")
         .agg(
-            total("n", ~late).alias("n_initial"), total("total", ~late).alias("total_initial"), total("n", ~dropped).alias("n_final"), total("total", ~dropped).alias("total_final"),
-            total("events", late & ~dropped).alias("late_events"), total("events", dropped).alias("dropped_events"),
+            total("_n", ~late).alias("n_initial"), total("_total", ~late).alias("total_initial"), total("_n", ~dropped).alias("n_final"), total("_total", ~dropped).alias("total_final"),
+            total("_events", late & ~dropped).alias("late_events"), total("_events", dropped).alias("dropped_events"),
         )
-        .select(*keys, (F.col("window") * spec.slide).alias("window_start_us"), "n_initial", "total_initial", "n_final", "total_final", "late_events", "dropped_events")
+        .select(*keys, (F.col("_window") * spec.slide).alias("window_start_us"), "n_initial", "total_initial", "n_final", "total_final", "late_events", "dropped_events")
     )
 
 

@@ -188,6 +188,7 @@ def implausible(rows: DataFrame, ranges: Mapping[str, tuple[float, float]] = RAN
     Copies are combined before the shuffle; a source is worked on in slices of time with the readings around them, and
     runs across slices are put together from the first and last run of each slice.
     """
+    rows = rows.select("signal", "row_id", "device_id", "at_us", "value")
     ok = rows.where("signal is not null and device_id is not null and at_us is not null and value is not null and not isnan(value)")
     series = sliced(ok.groupBy("signal", "device_id", "at_us", "value").agg(F.count(F.lit(1)).alias("copies")).drop("copies"), "at_us", slice_us, NEAR_US * (ROUNDS + 1))
     series = series.repartition("signal", "device_id", "slice")
@@ -203,7 +204,8 @@ def implausible(rows: DataFrame, ranges: Mapping[str, tuple[float, float]] = RAN
     runs = judged.withColumns({"loose": loose, "side": side}).withColumn("fresh", F.when(joined & (F.col("kind") != FLAGGED), 0).otherwise(1))
     runs = runs.withColumn("run", F.sum("fresh").over(w)).withColumn("total", F.sum("length").over(Window.partitionBy("signal", "device_id", "loose", "run")))
     found = runs.where((F.col("kind") == FLAGGED) | (F.col("total") >= STUCK)).select("signal", "device_id", F.explode("times").alias("at_us"), "value").distinct()
-    by_series = ok.join(found, ["signal", "device_id", "at_us", "value"], "left_semi").select("signal", "row_id")
+    # found is distinct, so an inner join is a semi join; Spark would run a semi join once for each part of a union
+    by_series = ok.join(found, ["signal", "device_id", "at_us", "value"]).select("signal", "row_id")
 
     out_of_range = F.lit(False)
     for s, (lo, hi) in ranges.items():

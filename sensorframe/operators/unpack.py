@@ -32,6 +32,22 @@ SIGNALS: Mapping[str, Signal] = {
 }
 
 
+PACKET = ("start_ms", "sampling_rate", "sensor_id", "true_ms", "true_index")
+
+
+def _renamed(packets: DataFrame, keys: Sequence[str], channels: Sequence[str], keep: Sequence[str]) -> tuple[DataFrame, list[str], list[str], list[str]]:
+    """Packets with neutral names for the caller's columns, which so can't clash with the names used in between."""
+    names = [[f"{kind}_{i}" for i in range(len(cols))] for kind, cols in (("key", keys), ("channel", channels), ("keep", keep))]
+    own = [F.col(c) for c in PACKET if c in packets.columns]
+    df = packets.select(*own, *[F.col(c).alias(n) for cols, ns in zip((keys, channels, keep), names) for c, n in zip(cols, ns)])
+    return df, *names
+
+
+def _back(df: DataFrame, keys: Sequence[str], channels: Sequence[str], keep: Sequence[str], extra: Sequence[str]) -> DataFrame:
+    first = [F.col(f"key_{i}").alias(k) for i, k in enumerate(keys)]
+    return df.select(*first, *extra, *[F.col(f"channel_{i}").alias(c) for i, c in enumerate(channels)], *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)])
+
+
 def checked(packets: DataFrame, channels: Sequence[str]) -> DataFrame:
     """Adds n, the packet's length. Packets without any sample are dropped, a channel without samples becomes nulls, and
     channels of different other lengths are an error."""
@@ -57,10 +73,11 @@ def unpack_legacy(packets: DataFrame, keys: Sequence[str], channels: Sequence[st
     Where a packet's last sample would not come before the next packet's start, its samples from that start on are
     dropped. Packets have start_ms (double) and sampling_rate.
     """
-    w = Window.partitionBy(*keys).orderBy("start_ms")
-    df = checked(packets, channels).withColumn("next_ms", F.lead("start_ms").over(w))
-    df = _samples(df, channels).withColumn("timestamp_ms", F.col("start_ms") + F.col("pos") * 1000.0 / F.col("sampling_rate"))
-    return df.where(F.col("next_ms").isNull() | (F.col("timestamp_ms") < F.col("next_ms"))).select(*keys, "timestamp_ms", "sampling_rate", *channels, *keep)
+    packets, k, c, x = _renamed(packets, keys, channels, keep)
+    w = Window.partitionBy(*k).orderBy("start_ms")
+    df = checked(packets, c).withColumn("next_ms", F.lead("start_ms").over(w))
+    df = _samples(df, c).withColumn("timestamp_ms", F.col("start_ms") + F.col("pos") * 1000.0 / F.col("sampling_rate"))
+    return _back(df.where(F.col("next_ms").isNull() | (F.col("timestamp_ms") < F.col("next_ms"))), keys, channels, keep, ["timestamp_ms", "sampling_rate"])
 
 
 def unpack(packets: DataFrame, keys: Sequence[str], channels: Sequence[str], keep: Sequence[str] = (), on_rate: str = "error", drop_gaps: bool = False, exclude_first_rate: bool = False, error: float = ERROR) -> DataFrame:
@@ -79,6 +96,11 @@ def unpack(packets: DataFrame, keys: Sequence[str], channels: Sequence[str], kee
     """
     if on_rate not in ("error", "ignore", "drop"):
         raise ValueError("on_rate must be error, ignore or drop")
+    packets, k, c, x = _renamed(packets, keys, channels, keep)
+    return _back(_unpack(packets, k, c, x, on_rate, drop_gaps, exclude_first_rate, error), keys, channels, keep, ["timestamp_ms"])
+
+
+def _unpack(packets: DataFrame, keys: Sequence[str], channels: Sequence[str], keep: Sequence[str], on_rate: str, drop_gaps: bool, exclude_first_rate: bool, error: float) -> DataFrame:
     df = anchored(packets, keys, channels, error, exclude_first_rate)
     off = F.abs(F.col("median") - F.col("nominal")) / F.col("nominal") >= RATE_GUARD
     if on_rate == "error":
@@ -151,8 +173,9 @@ def anchored(packets: DataFrame, keys: Sequence[str], channels: Sequence[str], e
 
 def rate_off(packets: DataFrame, keys: Sequence[str], channels: Sequence[str]) -> DataFrame:
     """The groups whose median rate differs by 20 % or more from the first packet's."""
-    df = anchored(packets, keys, channels)
-    return df.where(F.abs(F.col("median") - F.col("nominal")) / F.col("nominal") >= RATE_GUARD).select(*keys).distinct()
+    packets, k, c, _ = _renamed(packets, keys, channels, ())
+    df = anchored(packets, k, c)
+    return _back(df.where(F.abs(F.col("median") - F.col("nominal")) / F.col("nominal") >= RATE_GUARD), keys, (), (), ()).distinct()
 
 
 def unpack_or_legacy(packets: DataFrame, keys: Sequence[str], channels: Sequence[str]) -> DataFrame:

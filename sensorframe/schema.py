@@ -18,7 +18,8 @@ METADATA = T.StructType(
     ]
 )
 BASE = T.StructType([T.StructField("data_point_metadata", METADATA), T.StructField("measurement_timestamp_utc", T.TimestampType())])
-ANNOTATION = T.StructType.fromDDL(
+#: The schema of annotations, as DDL.
+ANNOTATION = (
     "annotation_label string, start_timestamp_utc timestamp, end_timestamp_utc timestamp, annotation_metadata struct<device_id: string, participant_id: string, participant_namespace: bigint, version_name: string, version_number: bigint, "
     "input_data_info: array<struct<version_number: bigint, version_name: string, metric_type: struct<stream_item_type: string, derived_data_type: string, annotation_type: string>>>>"
 )

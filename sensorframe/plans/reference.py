@@ -532,6 +532,7 @@ def udf_algorithm(spark: SparkSession, d: str) -> DataFrame:
 # Unpacking ---------------------------------------------------------------------------------------------------------
 
 START_MS = us(datetime(2024, 1, 1, tzinfo=timezone.utc)) // 1000
+SHIFT_MS = START_MS + 0.0123  # keeps times that are exact halves off the borders of rounding
 
 
 def packets(spark: SparkSession, d: str, true: bool = True, gaps: bool = True) -> DataFrame:
@@ -553,13 +554,13 @@ def packets_sql(gaps: bool = True) -> str:
 
 def summary(df: DataFrame) -> DataFrame:
     return df.groupBy("device").agg(
-        F.count(F.lit(1)).alias("n"), F.count("value").alias("n_real"), F.round(F.min("timestamp_ms") - START_MS, 0).alias("first"), F.round(F.max("timestamp_ms") - START_MS, 0).alias("last"),
-        F.round(F.avg("timestamp_ms") - START_MS, 0).alias("middle"), F.round(F.sum(F.col("value") * (F.col("timestamp_ms") - START_MS)) / 1000, 0).alias("weighted"),
+        F.count(F.lit(1)).alias("n"), F.count("value").alias("n_real"), F.round(F.min("timestamp_ms") - SHIFT_MS, 1).alias("first"), F.round(F.max("timestamp_ms") - SHIFT_MS, 1).alias("last"),
+        F.round(F.avg(F.col("timestamp_ms") - SHIFT_MS), 1).alias("middle"), F.round(F.sum(F.col("value") * (F.col("timestamp_ms") - START_MS)) / 1000 + 0.0123, 1).alias("weighted"),
     )
 
 
-SUMMARY = f"""select device, count(*) as n, count(value) as n_real, round(min(ts) - {START_MS}) as first, round(max(ts) - {START_MS}) as last, round(avg(ts) - {START_MS}) as middle,
-  round(sum(value * (ts - {START_MS})) / 1000) as weighted from o group by device"""
+SUMMARY = f"""select device, count(*) as n, count(value) as n_real, round(min(ts) - {SHIFT_MS}, 1) as first, round(max(ts) - {SHIFT_MS}, 1) as last, round(avg(ts - {SHIFT_MS}), 1) as middle,
+  round(sum(value * (ts - {START_MS})) / 1000 + 0.0123, 1) as weighted from o group by device"""
 
 
 def unpack_sql(true: str, index: int, gaps: bool, fill: str) -> str:

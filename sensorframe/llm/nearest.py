@@ -137,7 +137,7 @@ def stream_nearest(left: DataFrame, right: DataFrame, tolerance_us: int, latenes
             buffer.restore(state.get[0])
         for f in frames:
             at = f["at"].to_numpy().astype("datetime64[us]").astype(np.int64)
-            r = f["is_right"].to_numpy()
+            r = f["is_right"].to_numpy().astype(bool)
             buffer.add_left(at[~r], f["id"].to_numpy()[~r])
             buffer.add_right(at[r], f["id"].to_numpy()[r])
         mark = state.getCurrentWatermarkMs() * 1000

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 ORDER = 7  # characters of the longest context
 BITS = 20  # counters of each order: 2 ** BITS, whatever the corpus
 CHUNK = 1 << 14  # counters of a row when partial models are added up
-PIECE = 4_000_000  # characters looked at together
+PIECE = 1_000_000  # characters looked at together
 SMOOTH = 2.0
 START = 0.02  # share of endings before any context is known
 LOOSEST, STRICTEST = -3.0, -4.5  # bounds of the languages' thresholds
@@ -51,15 +51,17 @@ def _kinds() -> np.ndarray:
     return table
 
 
-def _characters(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(characters, line kinds): a run of digits counts as one 0, carriage returns as nothing."""
+def _characters(text: str, counted: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(characters, line kinds[, counted]): a run of digits counts as one 0, carriage returns as nothing."""
     a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     digit = (a >= 48) & (a <= 57)
-    a = a[~(digit & np.r_[False, digit[:-1]]) & (a != 13)]
+    keep = ~(digit & np.r_[False, digit[:-1]]) & (a != 13)
+    a = a[keep]
     c = np.where((a >= 48) & (a <= 57), 48, a).astype(np.uint64)
     line = np.maximum.accumulate(np.where(a == 10, np.arange(len(a)) + 1, 0))
     first = np.r_[0, line[:-1]] if len(a) else line
-    return c, _kinds()[np.minimum(c[np.minimum(first, max(len(a) - 1, 0))], 127).astype(np.int64)] if len(a) else c
+    kinds = _kinds()[np.minimum(c[np.minimum(first, max(len(a) - 1, 0))], 127).astype(np.int64)] if len(a) else c
+    return (c, kinds) if counted is None else (c, kinds, counted[keep])
 
 
 def _buckets(c: np.ndarray, kind: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
@@ -74,39 +76,43 @@ def _buckets(c: np.ndarray, kind: np.ndarray, at: np.ndarray) -> Iterator[np.nda
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A partition's counts: of each context, and of the times it ends a line or text; in compressed chunks."""
-    n, e = np.zeros((ORDER, 1 << BITS), np.int64), np.zeros((ORDER, 1 << BITS), np.int64)
-
-    def add(text: str) -> None:
-        c, kind = _characters(text)
-        at = np.flatnonzero(~np.isin(c, np.array([9, 10, 32, 160], np.uint64)))
-        at = at[at < len(c) - 1]
+    n, e = np.zeros((ORDER, 1 << BITS), np.uint32), np.zeros((ORDER, 1 << BITS), np.uint32)  # of one task, at most 4 billion
+
+    def add(pieces: list[tuple[str, int, int]]) -> None:
+        text = pad + pad.join(t for t, _, _ in pieces) + pad
+        counted, at = np.zeros(len(text), bool), 0
+        for t, a, b in pieces:
+            at += len(pad)
+            counted[at + a : at + b] = True
+            at += len(t)
+        c, kind, counted = _characters(text, counted)
+        at = np.flatnonzero(counted & ~np.isin(c, np.array([9, 10, 32, 160], np.uint64)))
         ends = c[at + 1] == 10
         for j, b in enumerate(_buckets(c, kind, at)):
-            n[j] += np.bincount(b, minlength=1 << BITS)
-            e[j] += np.bincount(b[ends], minlength=1 << BITS)
+            n[j] += np.bincount(b, minlength=1 << BITS).astype(np.uint32)
+            e[j] += np.bincount(b[ends], minlength=1 << BITS).astype(np.uint32)
 
     held, size = [], 0
     pad = "\n" * (ORDER + 1)
     for batch in batches:
         for text in batch.column("text").to_pylist():
             t = bare_end(text) if text else ""
-            if not t:
-                continue
-            for i in range(0, len(t), PIECE):  # a piece begins at its line, as far as that is near
-                held.append(t[max(0, i - ORDER) : i + PIECE] + ("" if i + PIECE < len(t) else "\n"))
-                size += len(held[-1])
+            for i in range(0, len(t), PIECE):  # with what stands before and behind, which isn't counted
+                a = max(0, i - ORDER)
+                held.append((t[a : i + PIECE + 1], i - a, min(len(t), i + PIECE) - a))
+                size += len(held[-1][0])
                 if size > PIECE:
-                    add(pad.join(held) + "\n")
+                    add(held)
                     held, size = [], 0
     if held:
-        add(pad.join(held) + "\n")
+        add(held)
     rows = []
     for j in range(ORDER):
         for k in range((1 << BITS) // CHUNK):
             part, ends = n[j, k * CHUNK : (k + 1) * CHUNK], e[j, k * CHUNK : (k + 1) * CHUNK]
             at = np.flatnonzero(part)
             if len(at):
-                rows.append((j, k, zlib.compress(at.astype(np.uint16).tobytes() + part[at].tobytes() + ends[at].tobytes(), 1)))
+                rows.append((j, k, zlib.compress(at.astype(np.uint16).tobytes() + part[at].astype(np.int64).tobytes() + ends[at].astype(np.int64).tobytes(), 1)))
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["order", "chunk", "counts"])
 

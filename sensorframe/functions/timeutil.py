@@ -107,6 +107,23 @@ def millis(at: Column) -> Column:
     return F.unix_millis(at)
 
 
+def from_millis(ms: Column) -> Column:
+    """Milliseconds since the epoch as a timestamp."""
+    return F.timestamp_millis(ms)
+
+
+def time_text_millis(text: Column) -> Column:
+    """A date text (in UTC unless it says otherwise) as milliseconds; an error for anything else, null too."""
+    at = F.try_to_timestamp(F.regexp_replace(text, r"\s+UTC$", "Z"))
+    return F.when(at.isNotNull(), F.unix_millis(at)).otherwise(F.raise_error(F.concat(F.lit("no time: "), F.coalesce(text, F.lit("null")))).cast("long"))
+
+
+def utc_only(text: Column) -> Column:
+    """A timestamp text that is in UTC or says no zone; an error for one with another offset."""
+    other = text.rlike(r"[+-](?!00:?00)\d{2}:?\d{2}\s*\z") & text.rlike(r"\d{1,2}:\d{2}.*[+-]\d{2}:?\d{2}\s*\z")
+    return F.when(other, F.raise_error(F.concat(F.lit("not in UTC: "), text)).cast("timestamp")).otherwise(F.try_to_timestamp(text))
+
+
 def required(value: Column, what: str) -> Column:
     """The value; an error where it is null."""
     return F.when(value.isNotNull(), value).otherwise(F.raise_error(F.lit(f"{what} must not be null")))

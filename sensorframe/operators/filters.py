@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,12 +46,13 @@ def data_filter(intervals: DataFrame, filter_id: str, inclusive: bool) -> DataFr
     return intervals.select(F.lit(filter_id).alias("filter_id"), F.lit(inclusive).alias("is_inclusive"), "device_id", "start_us", "end_us", *extra)
 
 
-def apply_filters(points: DataFrame, filters: Sequence[DataFrame], inclusive_ids: Sequence[str]) -> DataFrame:
+def apply_filters(points: DataFrame, filters: Sequence[DataFrame], inclusive_ids: Sequence[str], observation: Observation | None = None) -> DataFrame:
     """Points that every inclusive filter covers and no exclusive one does.
 
     Points have columns device_id, measurement_timestamp_utc and KEYS; filters come from data_filter. A null key of a
     filter row matches any value. An inclusive filter counts once, by however many of its rows it covers a point; one
-    without rows covers nothing. Without inclusive filters all points pass that test.
+    without rows covers nothing. Without inclusive filters all points pass that test. After the result has been used, an
+    `observation` has the number of points left out as rows_removed.
     """
     if not filters:
         return points
@@ -69,6 +70,9 @@ def apply_filters(points: DataFrame, filters: Sequence[DataFrame], inclusive_ids
     hit = F.filter("covering", fits)
     within = F.array_distinct(F.transform(F.filter(hit, lambda x: x["is_inclusive"]), lambda x: x["filter_id"]))
     ok = (F.size(within) == len(set(inclusive_ids))) & ~F.exists(hit, lambda x: ~x["is_inclusive"])
+    if observation is not None:
+        df = df.withColumn("_ok", ok).observe(observation, F.count(F.when(~F.col("_ok"), 1)).alias("rows_removed"))
+        return df.where("_ok").drop("covering", "_ok")
     return df.where(ok).drop("covering")
 
 

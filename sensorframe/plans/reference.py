@@ -17,7 +17,7 @@ from ..sources.tables import load
 D1, D2 = datetime(2019, 6, 5, tzinfo=timezone.utc), datetime(2019, 6, 9, 12, tzinfo=timezone.utc)
 DEVICES = ("pep2HSY2X000", "RLQYAV44B003", "PDVWC3G9C001")
 USERS = ("prt9UCZWN6DB0", "prtETKVFDVCK3")
-SPECS = ("com.verily.heart_rate", "com.verily.pulse_rate")
+RATES = r"[.](heart|pulse)_rate"
 HOUR = 3_600_000_000
 
 
@@ -76,9 +76,10 @@ def ids(df: DataFrame) -> DataFrame:
 # Reads and predicates ----------------------------------------------------------------------------------------------
 
 
-@query(simple(f"t >= {us(D1)} and t <= {us(D2)} and data_spec_name in {SPECS}"))
+@query(simple(f"t >= {us(D1)} and t <= {us(D2)} and device_id in {DEVICES} and regexp_matches(data_spec_name, '{RATES}')"))
 def read_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return ids(SensorTables(spark, d).read_datapoints(start=at(D1), end=at(D2), data_types=SPECS))
+    df = SensorTables(spark, d).read_datapoints(device_ids=DEVICES, start=at(D1), end=at(D2))
+    return ids(pr.Where(F.col("data_spec_name").rlike(RATES)).apply(df))
 
 
 @query(f"with {PTS} select row_id from pts where device_id in {DEVICES} order by t, row_id limit 50")

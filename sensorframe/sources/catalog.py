@@ -118,14 +118,43 @@ class StreamSource:
 
 @dataclass(frozen=True)
 class BatchSource:
-    """How data points are read: duplicates removed or not, and participants looked up in a table of devices or not."""
+    """How data points are read: duplicates removed or not, participants looked up in a table of devices or not, the
+    result cached or not; or so many mock rows in place of the table's own."""
 
     remove_duplicates: bool = True
     participants: DataFrame | None = None
-
-    def read(self, tables: SensorTables, **conditions: object) -> DataFrame:
-        df = tables.read_datapoints(remove_duplicates=self.remove_duplicates, **conditions)
-        return df if self.participants is None else with_participants(df, self.participants)
+    cache: bool = False
+    mock: int | None = None
+
+    def read(self, tables: SensorTables, table: str = "datapoint", **conditions: object) -> DataFrame:
+        if self.mock is not None:
+            df = mock_rows(tables.spark, tables.schema(table), self.mock)
+        else:
+            df = tables.read_datapoints(table, remove_duplicates=self.remove_duplicates, **conditions)
+        df = df if self.participants is None else with_participants(df, self.participants)
+        return df.cache() if self.cache else df
+
+
+def mock_rows(spark: SparkSession, schema: T.StructType, n: int) -> DataFrame:
+    """n rows of a schema with plain values that follow from the row's number: one a second, on device_0 to device_9."""
+
+    def value(kind: T.DataType, name: str, i: Column) -> Column:
+        if isinstance(kind, T.StructType):
+            return F.struct(*[value(f.dataType, f.name, i).alias(f.name) for f in kind.fields])
+        if isinstance(kind, T.ArrayType):
+            return F.array(*[value(kind.elementType, name, i + k) for k in range(3)])
+        if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            return F.timestamp_seconds(F.lit(1_700_000_000) + i).cast(kind)
+        if isinstance(kind, T.BooleanType):
+            return i % 2 == 0
+        if isinstance(kind, T.StringType):
+            return F.concat(F.lit(f"{name.removesuffix('_id')}_"), (i % 10).cast("string"))
+        if isinstance(kind, T.BinaryType):
+            return F.encode(i.cast("string"), "UTF-8")
+        return (i % 100).cast(kind)
+
+    i = F.col("id")
+    return spark.range(n).select(*[value(f.dataType, f.name, i).alias(f.name) for f in schema.fields])
 
 
 def with_participants(points: DataFrame, users: DataFrame) -> DataFrame:

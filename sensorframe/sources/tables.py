@@ -26,9 +26,11 @@ def arrival() -> Column:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh path under the cluster's shared checkpoint folder (spark.checkpoint.dir), for written tables.
 
-    Where the setting is missing, as in tests on one machine, a folder beside the working directory is used.
+    Where neither the setting nor the context's checkpoint folder is there, as in tests on one machine, a folder of this
+    machine is used, or the one in SENSORFRAME_SHARED.
     """
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("SENSORFRAME_SHARED", "/tmp/sensorframe-shared")
+    set_ = spark.sparkContext._jsc.sc().getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or (set_.get() if set_.isDefined() else None) or os.environ.get("SENSORFRAME_SHARED", "/tmp/sensorframe-shared")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

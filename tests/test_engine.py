@@ -55,6 +55,29 @@ def test_times(spark):
         tu.floor_unit(t, "WEEK")
 
 
+def test_strict_times(spark):
+    one = lambda c: row_of(spark, x=c).x
+    assert one(tu.time_text_millis(F.lit("2019-10-07"))) == 1570406400000 and one(tu.time_text_millis(F.lit("2019-10-07 07:51:37.857 UTC"))) == 1570434697857
+    assert one(tu.millis(tu.from_millis(F.lit(1672660800000)))) == 1672660800000 and one(tu.utc_only(F.lit("2020-01-01 00:00:00+00:00"))) == datetime(2020, 1, 1)
+    for bad in (tu.time_text_millis(F.lit("")), tu.time_text_millis(F.lit("not a time")), tu.time_text_millis(F.lit(None).cast("string")), tu.utc_only(F.lit("2020-01-01 00:00:00+05:00"))):
+        with pytest.raises(Exception, match="no time|not in UTC"):
+            one(bad)
+
+
+def test_mock_and_observed(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    t = catalog.SensorTables(spark, str(tmp_path))
+    t.append(points(spark, [("dev1", 1, None, None, None, [], T0)]).withColumn("data_spec_name", F.lit("s")), "datapoint")
+    mock = catalog.BatchSource(mock=25).read(t)
+    assert mock.schema.fieldNames() == t.schema("datapoint").fieldNames() and mock.select("data_point_metadata.device_id").distinct().count() == 10
+    assert catalog.BatchSource(cache=True).read(t).count() == 1
+    rows = spark.createDataFrame([("a", T0 + timedelta(hours=h), None, None, None, None) for h in range(5)], "device_id string, measurement_timestamp_utc timestamp, data_spec string, sensor_id string, algorithm_name string, algorithm_version string")
+    spans = spark.createDataFrame([("a", int(T0.timestamp() * 10**6), int((T0 + timedelta(hours=2)).timestamp() * 10**6))], "device_id string, start_us long, end_us long")
+    o = Observation("filter")
+    assert len(filters.apply_filters(rows, [filters.data_filter(spans, "f", True)], ["f"], o).collect()) == 2 and o.get["rows_removed"] == 3
+
+
 def test_utc_guard(spark):
     require_utc(spark)
     spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")

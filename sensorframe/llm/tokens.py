@@ -155,7 +155,8 @@ def encode_corpus(documents: DataFrame, path: str | None = None) -> DataFrame:
     block's distinct words go out by hash of the word, which brings a word of the whole corpus to one task that encodes
     it once. A word comes once from each block, so the commonest word costs as many rows as there are blocks. The ids
     then go back to the blocks, where the documents are put together by position. Positions travel as 16-bit places in
-    their block's word list, never as a row for each pre-token.
+    their block's word list, never as a row for each pre-token. As blocks are numbered within tasks, the documents should
+    come in a repeatable order, as from a table; then a lost task gives the same blocks again.
     """
     return _coded(documents, path or vocabulary_path()).mapInArrow(partial(_join, lengths=False), "doc_id long, ids array<int>")
 

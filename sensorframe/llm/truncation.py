@@ -51,8 +51,8 @@ def _kinds() -> np.ndarray:
     return table
 
 
-def _characters(text: str, counted: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """(characters, line kinds[, counted]): a run of digits counts as one 0, carriage returns as nothing."""
+def _characters(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(characters, line kinds, which of the text's they are): a run of digits counts as one 0, carriage returns as nothing."""
     a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     digit = (a >= 48) & (a <= 57)
     keep = ~(digit & np.r_[False, digit[:-1]]) & (a != 13)
@@ -61,7 +61,7 @@ def _characters(text: str, counted: np.ndarray | None = None) -> tuple[np.ndarra
     line = np.maximum.accumulate(np.where(a == 10, np.arange(len(a)) + 1, 0))
     first = np.r_[0, line[:-1]] if len(a) else line
     kinds = _kinds()[np.minimum(c[np.minimum(first, max(len(a) - 1, 0))], 127).astype(np.int64)] if len(a) else c
-    return (c, kinds) if counted is None else (c, kinds, counted[keep])
+    return c, kinds, keep
 
 
 def _buckets(c: np.ndarray, kind: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
@@ -85,12 +85,25 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at += len(pad)
             counted[at + a : at + b] = True
             at += len(t)
-        c, kind, counted = _characters(text, counted)
-        at = np.flatnonzero(counted & ~np.isin(c, np.array([9, 10, 32, 160], np.uint64)))
+        c, kind, keep = _characters(text)
+        at = np.flatnonzero(counted[keep] & ~np.isin(c, np.array([9, 10, 32, 160], np.uint64)))
         ends = c[at + 1] == 10
-        for j, b in enumerate(_buckets(c, kind, at)):
-            n[j] += np.bincount(b, minlength=1 << BITS).astype(np.uint32)
-            e[j] += np.bincount(b[ends], minlength=1 << BITS).astype(np.uint32)
+        mark = ends.astype(np.int64) << BITS  # endings are counted beside the rest
+        before = np.concatenate([np.full(ORDER, 10, np.uint64), c])
+        h = kind + np.uint64(17)
+        for j in range(ORDER):  # as _buckets, over all positions at once
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h += before[ORDER - j : ORDER - j + len(c)]
+            h += np.uint64(1)
+            x = h >> np.uint64(29)
+            x ^= h
+            x *= np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(32)
+            x >>= np.uint64(64 - BITS)
+            both = np.bincount(x[at].astype(np.int64) + mark, minlength=2 << BITS).astype(np.uint32)
+            n[j] += both[: 1 << BITS]
+            n[j] += both[1 << BITS :]
+            e[j] += both[1 << BITS :]
 
     held, size = [], 0
     pad = "\n" * (ORDER + 1)
@@ -169,15 +182,13 @@ def log_odds(contexts: list[str], own: bool, times: np.ndarray, ends: np.ndarray
     A context holds its whole last line and what stands before it, as far as the model looks back. Longer contexts
     correct shorter ones as far as their counts reach. Empty contexts get +inf.
     """
-    arrays = [_characters(t) for t in contexts]
-    size = np.array([len(c) for c, _ in arrays])
+    size = np.array([len(t) for t in contexts], np.int64)
     p = np.full(len(contexts), START)
     full = np.flatnonzero(size)
     if len(full):
-        pad = np.full(ORDER, 10, np.uint64)
-        c = np.concatenate([x for i in full for x in (pad, arrays[i][0])])
-        kind = np.concatenate([x for i in full for x in (np.zeros(ORDER, np.uint64), arrays[i][1])])
-        at = (size[full] + ORDER).cumsum() - 1
+        pad = "\n" * (ORDER + 1)
+        c, kind, keep = _characters(pad + pad.join(contexts[i] for i in full) + pad)
+        at = (np.cumsum(keep) - 1)[(size[full] + len(pad)).cumsum() - 1]  # a digit that was left out stands for its run
         q = p[full]
         for j, b in enumerate(_buckets(c, kind, at)):
             n = np.maximum(times[j, b] - own, 0)

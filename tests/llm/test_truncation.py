@@ -73,6 +73,21 @@ def test_counts_do_not_depend_on_pieces(spark, monkeypatch):
     assert abs(a[0][0].sum() - b[0][0].sum()) == 0 and a[1][0].sum() == b[1][0].sum()
 
 
+def test_counts_are_those_of_the_contexts(spark):
+    import numpy as np
+
+    rows, _ = corpus(30, 4)
+    times, ends = C.fit_endings(spark.createDataFrame(rows, SCHEMA))
+    n, e = np.zeros_like(times), np.zeros_like(ends)
+    for row in rows:
+        c, kind, _ = C._characters(C.bare_end(row[1]) + "\n")
+        at = np.array([i for i, x in enumerate(c.tolist()) if x not in (9, 10, 32, 160)])
+        for j, b in enumerate(C._buckets(c, kind, at)):
+            np.add.at(n[j], b, 1)
+            np.add.at(e[j], b[c[at + 1] == 10], 1)
+    assert (n == times).all() and (e == ends).all()
+
+
 @pytest.mark.parametrize(
     ("text", "kind"),
     [

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
-from functools import partial
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_folder
+
 ORDER = 7  # characters of the longest context
-BITS = 20  # counters of each order: 2 ** BITS, whatever the corpus
+BITS = 20  # counters of each order of fit_endings: 2 ** BITS, whatever the corpus
 CHUNK = 1 << 14  # counters of a row when partial models are added up
-PIECE = 1_000_000  # characters looked at together
+PIECE = 1_000_000  # characters that fit_endings looks at together
+SPAN = 2_000_000  # characters whose contexts are counted together
 SMOOTH = 2.0
 START = 0.02  # share of endings before any context is known
 LOOSEST, STRICTEST = -3.0, -4.5  # bounds of the languages' thresholds
@@ -161,7 +163,9 @@ COUNTS = "order int, chunk int, counts binary"
 
 
 def fit_endings(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(times, endings): the counters of the backward n-gram model over all texts, ORDER x 2 ** BITS.
+    """(times, endings): hashed counters of the backward n-gram model over all texts, ORDER x 2 ** BITS.
+
+    A summary of fixed size, in which contexts share counters; the queries take the exact counts of count_contexts.
 
     Every position of every text counts. A context ends where a line or text does; marks of omission at the end of a text
     are taken off first, so what stands before them counts as an ending. Partitions send their non-zero counters in
@@ -176,35 +180,130 @@ def fit_endings(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return times, ends
 
 
-def log_odds(contexts: list[str], own: bool, times: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Log-odds of an ending against a continuation at the end of each context; its own count is left out if `own`.
+def _groups(c: np.ndarray, kind: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(length, a position of each context, times, endings) for each length of contexts that end at positions `at`.
+
+    Characters become numbers of this text, and as many as 62 bits hold are sorted together; then the ranks stand for
+    them. So contexts are told apart by their characters, not by a hash.
+    """
+    ends = (c[at + 1] == 10).astype(np.int64)
+    there = np.zeros(0x110000, bool)
+    there[c] = True
+    code = (np.cumsum(there) - 1)[c]
+    bits = int(there.sum()).bit_length()
+    rank, held, length = kind[at].astype(np.int64), 3, 0
+    while length < ORDER:
+        m = min(ORDER - length, (62 - held) // bits)
+        x = rank
+        for k in range(m):
+            x = x << bits | code[at - length - k]
+        order = np.argsort(x)
+        x, e = x[order], ends[order]
+        for k in range(1, m + 1):
+            y = x >> bits * (m - k)
+            first = np.r_[True, y[1:] != y[:-1]]
+            heads = np.flatnonzero(first)
+            yield length + k, at[order[heads]], np.diff(np.append(heads, len(at))), np.add.reduceat(e, heads)
+        rank = np.empty(len(at), np.int64)
+        rank[order] = np.cumsum(first) - 1
+        held, length = len(at).bit_length(), length + m
+
+
+def _keys(c: np.ndarray, kind: np.ndarray, at: np.ndarray, length: int) -> pa.Array:
+    """The last `length` characters up to each position, and the digit of the line's kind."""
+    text = np.empty((len(at), length + 1), np.uint32)
+    for k in range(length):
+        text[:, length - 1 - k] = c[at - k]
+    text[:, length] = kind[at] + np.uint64(48)
+    keys = text.view(f"<U{length + 1}").ravel()
+    return pa.array(keys if text.all() else keys.tolist(), pa.string())  # Arrow reads numpy's texts up to the first zero character
+
+
+def _parts(t: str) -> Iterator[tuple[str, int, int]]:
+    """(text, first, end): the text, or the lines of a long one, with ORDER characters before them, which aren't counted."""
+    i = 0
+    while i < len(t):
+        end = len(t) if len(t) - i <= SPAN else t.find("\n", i + SPAN) + 1 or len(t)
+        a = max(0, i - ORDER)
+        while a and len(plain(t[a:i])) <= ORDER:
+            a = max(0, i - 2 * (i - a))
+        yield t[a:end], i - a, end - a
+        i = end
+
+
+def _count_exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The contexts of every length at all positions of the texts but spaces: key, times, and times at the end of a line or text."""
+    pad = "\n" * (ORDER + 1)
+
+    def count(pieces: list[tuple[str, int, int]]) -> Iterator[pa.RecordBatch]:
+        text = pad + pad.join(t for t, _, _ in pieces) + pad
+        counted, at = np.zeros(len(text), bool), 0
+        for t, a, b in pieces:
+            at += len(pad)
+            counted[at + a : at + b] = True
+            at += len(t)
+        c, kind, keep = _characters(text)
+        c = c.astype(np.int64)
+        at = np.flatnonzero(counted[keep] & ~np.isin(c, [9, 10, 32, 160]))
+        if len(at):
+            for length, where, n, e in _groups(c, kind, at):
+                yield pa.RecordBatch.from_arrays([_keys(c, kind, where, length), pa.array(n, pa.int64()), pa.array(e, pa.int64())], ["key", "n", "e"])
+
+    held, size = [], 0
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            for part in _parts(bare_end(text) if text else ""):
+                held.append(part)
+                size += len(part[0])
+                if size > SPAN:
+                    yield from count(held)
+                    held, size = [], 0
+    if held:
+        yield from count(held)
+
+
+def count_contexts(documents: DataFrame) -> DataFrame:
+    """key, n and e: how often each context of one to ORDER characters stands in the texts, and how often at an end.
+
+    Every position of every text counts, exactly and at any size of the corpus. A key is the context's characters in
+    reading order and the digit of its line's kind. A context ends where a line or text does; marks of omission at the
+    end of a text are taken off first, so what stands before them counts as an ending.
+    """
+    return documents.select("text").mapInArrow(_count_exact, "key string, n long, e long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
+
+
+def plain(t: str) -> str:
+    """A text as _characters sees it."""
+    return re.sub("[0-9]+", "0", t).replace("\r", "")
+
+
+def final_context(t: str) -> str | None:
+    """The key of the last ORDER characters of a text, None if it is empty; before a text are line ends."""
+    if not t:
+        return None
+    width = 4 * ORDER
+    while width < len(t) and len(plain(t[-width:])) <= ORDER:
+        width *= 2
+    first = plain(t[t.rfind("\n") + 1 :][:100].lstrip("\r"))[:1]
+    kind = next((i + 1 for i, chars in enumerate(KINDS) if first and first in chars), 0)
+    return ("\n" * ORDER + plain(t[-width:]))[-ORDER:] + str(kind)
+
 
-    A context holds its whole last line and what stands before it, as far as the model looks back. Longer contexts
-    correct shorter ones as far as their counts reach. Empty contexts get +inf.
+def context_odds(contexts: DataFrame, counts: DataFrame) -> DataFrame:
+    """context and odds: the log-odds of an ending against a continuation after each context, its own count left out.
+
+    Longer contexts correct shorter ones as far as their counts reach. Only counts of `contexts` are looked up.
     """
-    size = np.array([len(t) for t in contexts], np.int64)
-    p = np.full(len(contexts), START)
-    full = np.flatnonzero(size)
-    if len(full):
-        pad = "\n" * (ORDER + 1)
-        c, kind, keep = _characters(pad + pad.join(contexts[i] for i in full) + pad)
-        at = (np.cumsum(keep) - 1)[(size[full] + len(pad)).cumsum() - 1]  # a digit that was left out stands for its run
-        q = p[full]
-        for j, b in enumerate(_buckets(c, kind, at)):
-            n = np.maximum(times[j, b] - own, 0)
-            e = np.minimum(np.maximum(ends[j, b] - own, 0), n)
-            q = (e + SMOOTH * q) / (n + SMOOTH)
-        p[full] = q
-    with np.errstate(divide="ignore"):
-        out = np.log(p) - np.log1p(-p)
-    out[size == 0] = np.inf
-    return np.maximum(out, -1e6)
-
-
-def last_context(t: str) -> str:
-    """The last line of a text and the ORDER characters before it."""
-    line = t.rfind("\n") + 1
-    return t[max(0, line - ORDER - 1) :]
+    lengths = F.explode(F.sequence(F.lit(1), F.lit(ORDER)))
+    wanted = contexts.where("context is not null").select("context").distinct().select("context", lengths.alias("length")).withColumn("key", F.expr("right(context, length + 1)"))
+    n = F.greatest(F.coalesce("n", F.lit(0)) - 1, F.lit(0))
+    found = wanted.join(counts, "key", "left").select("context", F.struct("length", n.alias("n"), F.least(F.greatest(F.coalesce("e", F.lit(0)) - 1, F.lit(0)), n).alias("e")).alias("x"))
+    found = found.groupBy("context").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+
+    def share(start: float, of: Callable[[Column], Column]) -> Column:
+        return F.aggregate("xs", F.lit(start), lambda q, x: (of(x) + SMOOTH * q) / (x["n"] + SMOOTH))
+
+    return found.select("context", F.greatest(F.log(share(START, lambda x: x["e"])) - F.log(share(1 - START, lambda x: x["n"] - x["e"])), F.lit(-1e6)).alias("odds"))
 
 
 def open_part(t: str) -> str:
@@ -261,14 +360,13 @@ def ending_class(t: str) -> str:
     return "plain"
 
 
-def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-    times, ends = model.value
+def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = [bare_end(t) if t else "" for t in b.column("text").to_pylist()]
         before = [t[: max(t.rfind("\n"), 0)].rstrip() for t in texts]  # up to the line end before the last line
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("language"), b.column("source"), pa.array(log_odds([last_context(t) for t in texts], True, times, ends)), pa.array(log_odds([last_context(t) for t in before], True, times, ends)), pa.array([ending_class(t) if t else "whole" for t in texts])],
-            ["doc_id", "language", "source", "odds", "line_odds", "ending"],
+            [b.column("doc_id"), b.column("language"), b.column("source"), pa.array([final_context(t) for t in texts], pa.string()), pa.array([final_context(t) for t in before], pa.string()), pa.array([ending_class(t) if t else "whole" for t in texts], pa.string())],
+            ["doc_id", "language", "source", "context", "line_context", "ending"],
         )
 
 
@@ -281,12 +379,24 @@ def language(lang: Column) -> Column:
 def ending_scores(documents: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, language, source, odds, line_odds and ending of each document.
 
-    odds are the log-odds that a text may end where this one does, line_odds those at the line end before (complete as
-    far as anyone knows); ending is the class of ending_class. The model has a fixed size and is broadcast.
+    odds are the log-odds that a text may end where this one does (+inf for empty texts), line_odds those at the line end
+    before (complete as far as anyone knows); ending is the class of ending_class. The documents' final contexts and
+    their odds are written once to the shared folder; all counts stay in Spark.
     """
+    spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), language(F.col("lang")).alias("language"), F.col("source").cast("string").alias("source"))
-    model = documents.sparkSession.sparkContext.broadcast(fit_endings(rows))
-    return rows.mapInArrow(partial(_score, model=model), "doc_id long, language string, source string, odds double, line_odds double, ending string")
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        path = shared_folder(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    finals = written(rows.mapInArrow(_endings, "doc_id long, language string, source string, context string, line_context string, ending string"), "endings")
+    contexts = finals.select(F.explode(F.array("context", "line_context")).alias("context"))
+    odds = written(context_odds(contexts, count_contexts(rows)), "odds")
+    never = F.lit(float("inf"))
+    scored = finals.join(odds, "context", "left").join(odds.withColumnsRenamed({"context": "line_context", "odds": "line_odds"}), "line_context", "left")
+    return scored.select("doc_id", "language", "source", F.coalesce("odds", never).alias("odds"), F.coalesce("line_odds", never).alias("line_odds"), "ending")
 
 
 def mark_cut(scores: DataFrame) -> DataFrame:

@@ -102,3 +102,84 @@ def test_ending_class(text, kind):
 
 def test_bare_end():
     assert C.bare_end("abc … \n") == "abc" and C.bare_end("abc&hellip;") == "abc" and C.bare_end(" ... ") == "" and C.bare_end("a" + " " * 200_000 + "b") == "a" + " " * 200_000 + "b"
+
+
+def exact_odds(texts):
+    """Odds and line odds of each text, by plain counting of characters."""
+    import math
+    import re
+    from collections import Counter
+
+    def key(t, i, n):
+        """The context of n characters that ends at t[i]."""
+        line = t.rfind("\n", 0, i) + 1
+        kind = next((k + 1 for k, chars in enumerate(C.KINDS) if t[line] in chars), 0)
+        return ("\n" * n + t[: i + 1])[-n:], kind
+
+    plain = lambda t: re.sub("[0-9]+", "0", t).replace("\r", "")
+    times, ends = Counter(), Counter()
+    for text in texts:
+        t = plain(C.bare_end(text)) + "\n"
+        for i in range(len(t) - 1):
+            if t[i] not in "\t\n \xa0":
+                for n in range(1, C.ORDER + 1):
+                    times[key(t, i, n)] += 1
+                    ends[key(t, i, n)] += t[i + 1] == "\n"
+
+    def odds(t):
+        if not t:
+            return math.inf
+        t, p, q = plain(t), C.START, 1 - C.START
+        for n in range(1, C.ORDER + 1):
+            a = max(times[key(t, len(t) - 1, n)] - 1, 0)
+            e = min(max(ends[key(t, len(t) - 1, n)] - 1, 0), a)
+            p, q = (e + C.SMOOTH * p) / (a + C.SMOOTH), (a - e + C.SMOOTH * q) / (a + C.SMOOTH)
+        return math.log(p) - math.log(q)
+
+    bare = [C.bare_end(t) for t in texts]
+    return [(odds(t), odds(t[: max(t.rfind("\n"), 0)].rstrip())) for t in bare]
+
+
+def twins():
+    """Two words of seven letters that share a counter of the hashed model."""
+    import numpy as np
+
+    r, seen = random.Random(5), {}
+    while True:
+        w = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+        c, kind, _ = C._characters("\n" * 8 + "a " + w)
+        b = [int(x[0]) for x in C._buckets(c, kind, np.array([len(c) - 1]))][-1]
+        if b in seen and seen[b][-3:] != w[-3:]:
+            return seen[b], w
+        seen[b] = w
+
+
+def test_odds_are_those_of_exact_counts(spark):
+    a, b = twins()
+    texts = [r[1] for r in corpus(40, 6)[0]] + [f"See {a} for it.", f"See {a} again.", f"See {a}"] + [f"See {b}\nSee {b}"] * 30
+    texts += ["1234567890123456789012345678901234567890\nabc", "x\r\n* y\r12\x0034", "a\x00\nb\x00", "\U0001f600 古い駅\n|cell 1", "| a\n\n\r= b =", "z"]
+    df = spark.createDataFrame([(i, t, "en", "s", 0, "") for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: (r.odds, r.line_odds) for r in C.ending_scores(df).collect()}
+    for i, want in enumerate(exact_odds(texts)):
+        assert got[i] == pytest.approx(want, abs=1e-6), texts[i]
+
+
+def test_long_texts_count_like_short_ones(monkeypatch):
+    from collections import Counter
+
+    import pyarrow as pa
+
+    r = random.Random(7)
+    text = "".join(r.choice(["ab", "12", "345678901234", "\n", "\n* ", " ", "\r\n", "|x"]) for _ in range(3000))
+
+    def counts():
+        total = Counter()
+        for b in C._count_exact(iter([pa.RecordBatch.from_pydict({"text": [text, None, "", "q"]})])):
+            for k, n, e in zip(*(c.to_pylist() for c in b.columns)):
+                total[k, "n"] += n
+                total[k, "e"] += e
+        return total
+
+    whole = counts()
+    monkeypatch.setattr(C, "SPAN", 50)
+    assert counts() == whole

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -17,13 +18,15 @@ ORDER = 7  # characters of the longest context
 BITS = 20  # counters of each order of fit_endings: 2 ** BITS, whatever the corpus
 CHUNK = 1 << 14  # counters of a row when partial models are added up
 PIECE = 1_000_000  # characters that fit_endings looks at together
-SPAN = 2_000_000  # characters whose contexts are counted together
+SPAN = 4_000_000  # characters whose contexts are counted together
 SMOOTH = 2.0
 START = 0.02  # share of endings before any context is known
+WORD_START = 0.2  # and of ends of words
 LOOSEST, STRICTEST = -3.0, -4.5  # bounds of the languages' thresholds
 FALSE_SHARE = 0.005  # of the complete line ends of a language that may fall under its threshold
 LEAST_ENDS = 500  # line ends from which a language has a threshold of its own
 LIST_SAME, LIST_OTHER = -16.0, -5.0
+WORD_BREAK = -4.0  # word odds under which the last word of a list item breaks off
 OMISSIONS = ("…", "...", "&hellip;", "[…]", "[...]")
 STOP = re.compile(r"[.!?。！？।؟۔…‽][\'\"”»’)\]」』‬‏]*$")
 WHOLE = re.compile(r"^\s*(?:\[{1,2}[^\[\]]*\]\]|\{\{.*\}\}|==.*==|\|\}|#[^\s\[]*:?\s*\[\[[^\[\]]+\]\]|<[^<>]+>|__\w+__|\|-+)$")
@@ -180,15 +183,17 @@ def fit_endings(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return times, ends
 
 
-def _groups(c: np.ndarray, kind: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(length, a position of each context, times, endings) for each length of contexts that end at positions `at`.
+def _groups(c: np.ndarray, kind: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(length, a position of each context, times, endings, ends of words) for each length of contexts that end at positions `at`.
 
     Characters become numbers of this text, and as many as 62 bits hold are sorted together; then the ranks stand for
     them. So contexts are told apart by their characters, not by a hash.
     """
-    ends = (c[at + 1] == 10).astype(np.int64)
     there = np.zeros(0x110000, bool)
     there[c] = True
+    letter = np.zeros(0x110000, bool)
+    letter[[x for x in np.flatnonzero(there).tolist() if in_word(chr(x))]] = True
+    ends = (c[at + 1] == 10).astype(np.int64) + ((letter[c[at]] & ~letter[c[at + 1]]).astype(np.int64) << 32)  # both in one number
     code = (np.cumsum(there) - 1)[c]
     bits = int(there.sum()).bit_length()
     rank, held, length = kind[at].astype(np.int64), 3, 0
@@ -203,7 +208,8 @@ def _groups(c: np.ndarray, kind: np.ndarray, at: np.ndarray) -> Iterator[tuple[i
             y = x >> bits * (m - k)
             first = np.r_[True, y[1:] != y[:-1]]
             heads = np.flatnonzero(first)
-            yield length + k, at[order[heads]], np.diff(np.append(heads, len(at))), np.add.reduceat(e, heads)
+            both = np.add.reduceat(e, heads)
+            yield length + k, at[order[heads]], np.diff(np.append(heads, len(at))), both & 0xFFFFFFFF, both >> 32
         rank = np.empty(len(at), np.int64)
         rank[order] = np.cumsum(first) - 1
         held, length = len(at).bit_length(), length + m
@@ -232,7 +238,8 @@ def _parts(t: str) -> Iterator[tuple[str, int, int]]:
 
 
 def _count_exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The contexts of every length at all positions of the texts but spaces: key, times, and times at the end of a line or text."""
+    """The contexts of every length at all positions of the texts but spaces: key, times, and times at the end of a line or
+    text and of a word."""
     pad = "\n" * (ORDER + 1)
 
     def count(pieces: list[tuple[str, int, int]]) -> Iterator[pa.RecordBatch]:
@@ -246,8 +253,8 @@ def _count_exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = c.astype(np.int64)
         at = np.flatnonzero(counted[keep] & ~np.isin(c, [9, 10, 32, 160]))
         if len(at):
-            for length, where, n, e in _groups(c, kind, at):
-                yield pa.RecordBatch.from_arrays([_keys(c, kind, where, length), pa.array(n, pa.int64()), pa.array(e, pa.int64())], ["key", "n", "e"])
+            for length, where, n, e, w in _groups(c, kind, at):
+                yield pa.RecordBatch.from_arrays([_keys(c, kind, where, length), *(pa.array(x, pa.int64()) for x in (n, e, w))], ["key", "n", "e", "w"])
 
     held, size = [], 0
     for batch in batches:
@@ -263,13 +270,18 @@ def _count_exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def count_contexts(documents: DataFrame) -> DataFrame:
-    """key, n and e: how often each context of one to ORDER characters stands in the texts, and how often at an end.
+    """key, n, e and w: how often each context of one to ORDER characters stands in the texts, at an end, at a word's end.
 
     Every position of every text counts, exactly and at any size of the corpus. A key is the context's characters in
     reading order and the digit of its line's kind. A context ends where a line or text does; marks of omission at the
     end of a text are taken off first, so what stands before them counts as an ending.
     """
-    return documents.select("text").mapInArrow(_count_exact, "key string, n long, e long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
+    return documents.select("text").mapInArrow(_count_exact, "key string, n long, e long, w long").groupBy("key").agg(*(F.sum(x).alias(x) for x in "new"))
+
+
+def in_word(c: str) -> bool:
+    """Whether a character is a letter or a mark on one."""
+    return c.isalpha() or unicodedata.category(c)[0] == "M"
 
 
 def plain(t: str) -> str:
@@ -290,20 +302,27 @@ def final_context(t: str) -> str | None:
 
 
 def context_odds(contexts: DataFrame, counts: DataFrame) -> DataFrame:
-    """context and odds: the log-odds of an ending against a continuation after each context, its own count left out.
+    """context, odds and word_odds: the log-odds of an ending against a continuation after each context, and those of a
+    word's end against more letters; the context's own count is left out.
 
     Longer contexts correct shorter ones as far as their counts reach. Only counts of `contexts` are looked up.
     """
     lengths = F.explode(F.sequence(F.lit(1), F.lit(ORDER)))
     wanted = contexts.where("context is not null").select("context").distinct().select("context", lengths.alias("length")).withColumn("key", F.expr("right(context, length + 1)"))
-    n = F.greatest(F.coalesce("n", F.lit(0)) - 1, F.lit(0))
-    found = wanted.join(counts, "key", "left").select("context", F.struct("length", n.alias("n"), F.least(F.greatest(F.coalesce("e", F.lit(0)) - 1, F.lit(0)), n).alias("e")).alias("x"))
+
+    def others(c: str) -> Column:
+        return F.greatest(F.coalesce(c, F.lit(0)) - 1, F.lit(0))
+
+    found = wanted.join(counts, "key", "left").select("context", F.struct("length", others("n").alias("n"), F.least(others("e"), others("n")).alias("e"), F.least(others("w"), others("n")).alias("w")).alias("x"))
     found = found.groupBy("context").agg(F.sort_array(F.collect_list("x")).alias("xs"))
 
     def share(start: float, of: Callable[[Column], Column]) -> Column:
         return F.aggregate("xs", F.lit(start), lambda q, x: (of(x) + SMOOTH * q) / (x["n"] + SMOOTH))
 
-    return found.select("context", F.greatest(F.log(share(START, lambda x: x["e"])) - F.log(share(1 - START, lambda x: x["n"] - x["e"])), F.lit(-1e6)).alias("odds"))
+    def odds(start: float, c: str) -> Column:
+        return F.greatest(F.log(share(start, lambda x: x[c])) - F.log(share(1 - start, lambda x: x["n"] - x[c])), F.lit(-1e6))
+
+    return found.select("context", odds(START, "e").alias("odds"), odds(WORD_START, "w").alias("word_odds"))
 
 
 def open_part(t: str) -> str:
@@ -365,8 +384,8 @@ def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [bare_end(t) if t else "" for t in b.column("text").to_pylist()]
         before = [t[: max(t.rfind("\n"), 0)].rstrip() for t in texts]  # up to the line end before the last line
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("language"), b.column("source"), pa.array([final_context(t) for t in texts], pa.string()), pa.array([final_context(t) for t in before], pa.string()), pa.array([ending_class(t) if t else "whole" for t in texts], pa.string())],
-            ["doc_id", "language", "source", "context", "line_context", "ending"],
+            [b.column("doc_id"), b.column("language"), b.column("source"), pa.array([final_context(t) for t in texts], pa.string()), pa.array([final_context(t) for t in before], pa.string()), pa.array([ending_class(t) if t else "whole" for t in texts], pa.string()), pa.array([in_word(t[-1:] or " ") for t in texts])],
+            ["doc_id", "language", "source", "context", "line_context", "ending", "letter"],
         )
 
 
@@ -380,7 +399,8 @@ def ending_scores(documents: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, language, source, odds, line_odds and ending of each document.
 
     odds are the log-odds that a text may end where this one does (+inf for empty texts), line_odds those at the line end
-    before (complete as far as anyone knows); ending is the class of ending_class. The documents' final contexts and
+    before (complete as far as anyone knows), word_odds those that a word ends at the last letter (null if there is none at
+    the end); ending is the class of ending_class. The documents' final contexts and
     their odds are written once to the shared folder; all counts stay in Spark.
     """
     spark = documents.sparkSession
@@ -391,12 +411,12 @@ def ending_scores(documents: DataFrame, text: str = "text") -> DataFrame:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    finals = written(rows.mapInArrow(_endings, "doc_id long, language string, source string, context string, line_context string, ending string"), "endings")
+    finals = written(rows.mapInArrow(_endings, "doc_id long, language string, source string, context string, line_context string, ending string, letter boolean"), "endings")
     contexts = finals.select(F.explode(F.array("context", "line_context")).alias("context"))
     odds = written(context_odds(contexts, count_contexts(rows)), "odds")
     never = F.lit(float("inf"))
-    scored = finals.join(odds, "context", "left").join(odds.withColumnsRenamed({"context": "line_context", "odds": "line_odds"}), "line_context", "left")
-    return scored.select("doc_id", "language", "source", F.coalesce("odds", never).alias("odds"), F.coalesce("line_odds", never).alias("line_odds"), "ending")
+    scored = finals.join(odds, "context", "left").join(odds.select(F.col("context").alias("line_context"), F.col("odds").alias("line_odds")), "line_context", "left")
+    return scored.select("doc_id", "language", "source", F.coalesce("odds", never).alias("odds"), F.coalesce("line_odds", never).alias("line_odds"), F.when(F.col("letter"), F.col("word_odds")).alias("word_odds"), "ending")
 
 
 def mark_cut(scores: DataFrame) -> DataFrame:
@@ -405,13 +425,14 @@ def mark_cut(scores: DataFrame) -> DataFrame:
     A language's threshold is the odds under which FALSE_SHARE of its complete line ends lie, within LOOSEST and
     STRICTEST; languages with fewer than LEAST_ENDS take LOOSEST. The exact check: half a character confirms; an open template
     or table lets the loosest threshold do, a break inside a construct of the last line mere odds against an ending; a stop
-    or a complete line refutes; a list item needs lower odds, the more so if it has the shape of an earlier one.
+    or a complete line refutes; a list item needs lower odds, the more so if it has the shape of an earlier one, unless its
+    last word breaks off: shapes don't tell a word from its beginning.
     """
     ends = scores.where(F.col("line_odds") < 1e5).groupBy("language").agg(F.percentile_approx("line_odds", FALSE_SHARE, 2000).alias("low"), F.count(F.lit(1)).alias("n"))
     limits = ends.select("language", F.when(F.col("n") >= LEAST_ENDS, F.greatest(F.lit(STRICTEST), F.least(F.lit(LOOSEST), F.col("low")))).otherwise(LOOSEST).alias("threshold"))
     df = scores.join(limits, "language", "left").withColumn("threshold", F.coalesce("threshold", F.lit(LOOSEST)))
     kind, odds = F.col("ending"), F.col("odds")
-    cut = F.when(kind == "broken", True).when(kind == "inside", odds < 0).when(kind == "open", odds < LOOSEST).when(kind == "whole", False).when(kind == "same", odds < LIST_SAME).when(kind == "other", odds < LIST_OTHER).otherwise(odds < F.col("threshold"))
+    cut = F.when(kind == "broken", True).when(kind == "inside", odds < 0).when(kind == "open", odds < LOOSEST).when(kind == "whole", False).when(kind == "same", (odds < LIST_SAME) | ((odds < LOOSEST) & F.coalesce(F.col("word_odds") < WORD_BREAK, F.lit(False)))).when(kind == "other", odds < LIST_OTHER).otherwise(odds < F.col("threshold"))
     return df.withColumn("is_cut", cut)
 
 

@@ -175,11 +175,27 @@ def test_long_texts_count_like_short_ones(monkeypatch):
     def counts():
         total = Counter()
         for b in C._count_exact(iter([pa.RecordBatch.from_pydict({"text": [text, None, "", "q"]})])):
-            for k, n, e in zip(*(c.to_pylist() for c in b.columns)):
+            for k, n, e, w in zip(*(c.to_pylist() for c in b.columns)):
                 total[k, "n"] += n
                 total[k, "e"] += e
+                total[k, "w"] += w
         return total
 
     whole = counts()
     monkeypatch.setattr(C, "SPAN", 50)
     assert counts() == whole
+
+
+def test_list_items_of_one_shape_that_break_off(spark):
+    r = random.Random(8)
+    words = ["".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(4)) for _ in range(300)]
+    rows, cut = [(i, *x[1:]) for i, x in enumerate(corpus(300, 9)[0])], set()
+    for i in range(1000, 1400):
+        t = "\n".join(f"* [[{r.choice(NAMES)}]], {r.choice(words)}" for _ in range(4))
+        if i < 1060:
+            t = t[: -r.randrange(2, 6)]
+            cut.add(i)
+        assert C.ending_class(t) == "same"
+        rows.append((i, t, "en", "limit", 0, ""))
+    found = {r.doc_id for r in C.cut_documents(spark.createDataFrame(rows, SCHEMA)).collect() if r.doc_id >= 1000}
+    assert len(found & cut) > 0.9 * len(cut) and len(found - cut) < 4

@@ -13,11 +13,13 @@ from ..operators.panes import PaneSpec
 class PaneStore:
     """Open panes of a stream, one version a batch, in a shared folder.
 
-    A batch's events are added to the panes they fall into. Only windows over changed panes are put together again and
-    handed on, each with the total so far. Events whose last window has closed (by the greatest arrival so far) are
-    dropped and counted; panes all of whose windows have closed leave the store, so it holds no more than the panes of
-    one closing delay. A batch that is run again starts from the version before it and replaces its own, so nothing
-    counts twice.
+    A batch's events are added to the panes they fall into, split as in pane_partials by the windows that had closed when
+    each of them came: an event counts in the windows that were open at its own arrival, whatever else its batch holds.
+    Only windows over changed panes are put together again and handed on, each with the total so far; `closed` tells
+    those that the greatest arrival so far has closed. Events whose last window had closed are dropped and counted (see
+    `dropped`). Panes leave the store a second closing delay after their last window has closed, so that events that
+    arrived before and are delivered later still meet the whole total; those delivered after that are dropped, too.
+    A batch that is run again starts from the version before it and replaces its own, so nothing counts twice.
     """
 
     def __init__(self, spark: SparkSession, folder: str, keys: Sequence[str], spec: PaneSpec):
@@ -26,45 +28,64 @@ class PaneStore:
     def _version(self, n: int) -> str:
         return f"{self.folder}/panes-{n:010d}"
 
-    def _load(self, n: int) -> DataFrame | None:
+    def _marks(self, n: int) -> str:
+        return f"{self.folder}/marks-{n:010d}"
+
+    def _load(self, n: int) -> tuple[DataFrame, int, int] | None:
+        """(panes, greatest arrival, events dropped so far) of the last version up to `n`."""
         jvm = self.spark.sparkContext._jvm
         for k in range(n, -1, -1):
             path = jvm.org.apache.hadoop.fs.Path(self._version(k) + "/_SUCCESS")
             if path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-                return self.spark.read.parquet(self._version(k))
+                m = self.spark.read.parquet(self._marks(k)).first()  # one row
+                return self.spark.read.parquet(self._version(k)), m["mark"], m["dropped"]
         return None
 
+    def dropped(self, number: int) -> int:
+        """How many events of the batches up to `number` came after the closing of all windows they fall into."""
+        found = self._load(number)
+        return found[2] if found else 0
+
     def add(self, batch: DataFrame, number: int, event: str, arrival: str, value: Column) -> DataFrame:
         """Adds batch `number` and returns the windows it changed: keys, window_start_us, n, total, closed."""
         s = self.spec
-        old = self._load(number - 1)
-        mark = batch.agg(F.max(arrival).alias("m"))
-        if old is not None:
-            mark = mark.unionByName(old.agg(F.max("_mark").alias("m"))).agg(F.max("m").alias("m"))
-        now = mark.first()["m"]  # one number
-        if now is None:
-            return self._windows((old if old is not None else self._empty(batch)).withColumn("_changed", F.lit(False)), 0)
-        rows = batch.where(F.col(event).isNotNull() & F.col(arrival).isNotNull())
+        old, mark, dropped = self._load(number - 1) or (None, None, 0)
         pane = (F.floor(F.col(event) / s.pane) * s.pane).cast("long")
-        fresh = rows.select(*self.keys, pane.alias("_pane"), F.coalesce(value.cast("double"), F.lit(0.0)).alias("_v")).groupBy(*self.keys, "_pane").agg(F.count(F.lit(1)).alias("_n"), F.sum("_v").alias("_total"))
-        alive = (F.floor(F.col("_pane") / s.slide) * s.slide + s.size + s.close) > now
-        both = fresh.where(alive).withColumn("_changed", F.lit(True))
+        rows = batch.where(F.col(event).isNotNull() & F.col(arrival).isNotNull()).select(*self.keys, pane.alias("_pane"), F.col(arrival).cast("long").alias("_arrival"), F.coalesce(value.cast("double"), F.lit(0.0)).alias("_v"))
+        first, last = self._covering()
+        closed = F.floor((F.col("_arrival") - s.size - s.close) / s.slide)
+        if mark is not None:
+            closed = F.greatest(closed, F.lit((mark - s.size - 2 * s.close) // s.slide))  # these have left the store
+        rows = rows.where(first <= last).withColumn("_closed", F.greatest(first - 1, F.least(last, closed)).cast("long"))
+        late = F.col("_closed") >= last
+        seen = rows.agg(F.max("_arrival").alias("m"), F.coalesce(F.sum(late.cast("long")), F.lit(0)).alias("late")).first()  # two numbers
+        if seen["m"] is None:
+            return self._windows(self._empty(batch), 0)
+        now = seen["m"] if mark is None else max(seen["m"], mark)
+        both = rows.where(~late).groupBy(*self.keys, "_pane", "_closed").agg(F.count(F.lit(1)).alias("_n"), F.sum("_v").alias("_total")).withColumn("_changed", F.lit(True))
         if old is not None:
-            both = both.unionByName(old.drop("_mark", "_changed").withColumn("_changed", F.lit(False)))
-        panes = both.groupBy(*self.keys, "_pane").agg(F.sum("_n").alias("_n"), F.sum("_total").alias("_total"), F.max("_changed").alias("_changed"))
-        panes.where(alive).withColumn("_mark", F.lit(now).cast("long")).write.mode("overwrite").parquet(self._version(number))
+            both = both.unionByName(old.where(last * s.slide + s.size + 2 * s.close > mark).withColumn("_changed", F.lit(False)))
+        panes = both.groupBy(*self.keys, "_pane", "_closed").agg(F.sum("_n").alias("_n"), F.sum("_total").alias("_total"), F.max("_changed").alias("_changed"))
+        marks = self.spark.range(1).select(F.lit(now).cast("long").alias("mark"), F.lit(dropped + seen["late"]).cast("long").alias("dropped"))
+        marks.write.mode("overwrite").parquet(self._marks(number))
+        panes.write.mode("overwrite").parquet(self._version(number))
         return self._windows(self.spark.read.parquet(self._version(number)), now)
 
+    def _covering(self) -> tuple[Column, Column]:
+        """The numbers of the first and last window over _pane."""
+        s = self.spec
+        return F.floor((F.col("_pane") - s.size) / s.slide) + 1, F.floor(F.col("_pane") / s.slide)
+
     def _empty(self, batch: DataFrame) -> DataFrame:
-        return batch.limit(0).select(*self.keys, F.lit(0).cast("long").alias("_pane"), F.lit(0).cast("long").alias("_n"), F.lit(0.0).alias("_total"))
+        return batch.limit(0).select(*self.keys, *(F.lit(0).cast("long").alias(c) for c in ("_pane", "_closed", "_n")), F.lit(0.0).alias("_total"), F.lit(False).alias("_changed"))
 
     def _windows(self, panes: DataFrame, now: int) -> DataFrame:
         s = self.spec
-        first, last = F.floor((F.col("_pane") - s.size) / s.slide) + 1, F.floor(F.col("_pane") / s.slide)
-        w = panes.where(first <= last).withColumn("_w", F.explode(F.sequence(first, last)))
+        first, last = self._covering()
+        w = panes.withColumn("_w", F.explode(F.sequence(first, last))).where("_w > _closed")
         g = w.groupBy(*self.keys, "_w").agg(F.sum("_n").alias("n"), F.sum("_total").alias("total"), F.max("_changed").alias("_c")).where("_c")
         start = F.col("_w") * s.slide
-        return g.select(*self.keys, start.alias("window_start_us"), "n", "total", (start + s.size + s.close <= now).alias("closed")).where("not closed")
+        return g.select(*self.keys, start.alias("window_start_us"), "n", "total", (start + s.size + s.close <= now).alias("closed"))
 
 
 def stream_panes(events: DataFrame, folder: str, keys: Sequence[str], spec: PaneSpec, event: str, arrival: str, value: Column, emit: Callable[[DataFrame, int], None]):  # noqa: ANN201

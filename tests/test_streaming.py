@@ -71,3 +71,35 @@ def test_stream_panes_writer(spark, tmp_path):
     keep = lambda w, n: seen.update({(r.k, r.window_start_us): r.total for r in w.collect()})
     stream_panes(s, f"{tmp_path}/state", ["k"], PaneSpec(100, 100, 0, 500), "t", "a", F.col("v"), keep).trigger(availableNow=True).start().awaitTermination()
     assert seen == {("x", 0): 3.0}
+
+
+def test_pane_store_results_do_not_depend_on_batches(spark, tmp_path):
+    spec = PaneSpec(size=100, slide=50, publish=10, close=200)
+    late = [("x", 0, 900), ("x", 640, 880), ("y", 5, 2000), ("x", 1990, 2001)]
+    rows = sorted([("x", t, t + 7, 1.0) for t in range(0, 2000, 30)] + [(*r, 5.0) for r in late], key=lambda r: r[2])
+
+    def run(name, size):
+        store, out = PaneStore(spark, str(tmp_path / name), ["k"], spec), {}
+        for n in range(0, len(rows), size):
+            df = spark.createDataFrame(rows[n : n + size], "k string, t long, a long, v double")
+            out |= {(r.k, r.window_start_us): (r.n, r.total) for r in store.add(df, n // size, "t", "a", F.col("v")).collect()}
+        return out, store.dropped((len(rows) - 1) // size)
+
+    want = {}
+    for k, t, a, v in rows:
+        for w in range(t // 50 - 1, t // 50 + 1):
+            if w * 50 + 300 > a:
+                n, total = want.get((k, w * 50), (0, 0.0))
+                want[k, w * 50] = (n + 1, total + v)
+    assert run("one", len(rows)) == run("few", 24) == (want, 2)
+
+
+def test_pane_store_adds_what_is_delivered_late(spark, tmp_path):
+    store = PaneStore(spark, str(tmp_path / "p"), ["k"], PaneSpec(size=100, slide=100, publish=0, close=200))
+    add = lambda n, *rows: [(r.window_start_us, r.n, r.total, r.closed) for r in store.add(spark.createDataFrame(list(rows), "k string, t long, a long, v double"), n, "t", "a", F.col("v")).collect()]
+    assert add(0, ("x", 10, 20, 1.0)) == [(0, 1, 1.0, False)]
+    assert add(1, ("y", 390, 400, 1.0)) == [(300, 1, 1.0, False)]
+    assert add(2, ("x", 20, 299, 2.0)) == [(0, 2, 3.0, True)]  # arrived before the closing at 300
+    assert add(3, ("x", 20, 300, 2.0)) == [] and store.dropped(3) == 1
+    assert add(4, ("y", 890, 900, 1.0)) == [(800, 1, 1.0, False)]
+    assert add(5, ("x", 20, 299, 2.0)) == [] and store.dropped(5) == 2  # the pane has left the store

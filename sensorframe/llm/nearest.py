@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.groups import sliced, whole_groups
 
 SLICE_US = 3_600_000_000
+STEP = 64  # rows of a slice between two watermarks
 NONE = np.iinfo(np.int64).min
 
 
@@ -76,7 +77,8 @@ def nearest(t: np.ndarray, rt: np.ndarray, ri: np.ndarray, tolerance: int) -> np
 
 
 def _pair(batches: Iterator[pa.RecordBatch], tolerance: int) -> Iterator[pa.RecordBatch]:
-    """Rows come in order of time within (key, slice); each such group runs through a buffer of its own."""
+    """Rows come in order of time within (key, slice); each such group runs through a buffer of its own, STEP rows at a
+    time, with the time of the next row as the watermark."""
     for table, starts in whole_groups(batches, ["key", "slice"]):
         at, right, rid = (table.column(c).to_numpy() for c in ("at_us", "is_right", "right_id"))
         ends = np.append(starts[1:], len(at))
@@ -86,12 +88,14 @@ def _pair(batches: Iterator[pa.RecordBatch], tolerance: int) -> Iterator[pa.Reco
             if r.all() or not r.any():
                 continue
             buffer = NearestBuffer(tolerance)
-            index = np.arange(a, b)
-            buffer.add_left(at[a:b][~r], index[~r])
-            buffer.add_right(at[a:b][r], rid[a:b][r])
-            i, j = buffer.advance(None)
-            lefts.append(i)
-            rights.append(j)
+            for p in range(a, b, STEP):
+                q = min(p + STEP, b)
+                r = right[p:q]
+                buffer.add_left(at[p:q][~r], np.arange(p, q)[~r])
+                buffer.add_right(at[p:q][r], rid[p:q][r])
+                i, j = buffer.advance(int(at[q]) if q < b else None)
+                lefts.append(i)
+                rights.append(j)
         if lefts:
             i = np.concatenate(lefts)
             yield pa.RecordBatch.from_arrays([table.column("key").combine_chunks().take(pa.array(i)), pa.array(at[i]), pa.array(np.concatenate(rights))], ["key", "at_us", "right_id"])

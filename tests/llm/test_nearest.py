@@ -71,3 +71,24 @@ def test_stream_nearest(spark, tmp_path):
     q = N.stream_nearest(read("l"), read("r"), 2_000_000, "1 minute").writeStream.option("checkpointLocation", f"{tmp_path}/c").foreachBatch(lambda df, n: out.extend(map(tuple, df.collect()))).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(out)[:4] == [(1, 102), (2, 103), (3, 102), (4, 104)]
+
+
+def test_slices_pass_a_watermark(monkeypatch):
+    import pyarrow as pa
+
+    r = np.random.default_rng(11)
+    at = np.sort(r.integers(0, 5000, 800))
+    side = r.random(800) < 0.5
+    batch = pa.RecordBatch.from_pydict({"key": ["d"] * 800, "slice": [0] * 800, "at_us": at, "is_right": side, "right_id": np.where(side, np.arange(800), 0)})
+    pairs = lambda: sorted(x for b in N._pair(iter([batch]), 20) for x in zip(b["at_us"].to_pylist(), b["right_id"].to_pylist()))
+    whole, held, advance = pairs(), [], N.NearestBuffer.advance
+
+    def watched(self, watermark):
+        out = advance(self, watermark)
+        held.append((watermark, len(self.lt) + len(self.rt)))
+        return out
+
+    monkeypatch.setattr(N, "STEP", 7)
+    monkeypatch.setattr(N.NearestBuffer, "advance", watched)
+    assert pairs() == whole and len(whole) > 300
+    assert len(held) == 115 and held[-1][0] is None and max(n for _, n in held) < 40

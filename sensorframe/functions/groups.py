@@ -18,7 +18,7 @@ def group_starts(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
         new[0] = True
     for k in keys:
         c = table.column(k).combine_chunks()
-        x = c.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) if not pa.types.is_integer(c.type) else c.to_numpy(zero_copy_only=False)
+        x = c.to_numpy(zero_copy_only=False) if pa.types.is_integer(c.type) and not c.null_count else c.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
         new[1:] |= x[1:] != x[:-1]
     return np.flatnonzero(new)
 

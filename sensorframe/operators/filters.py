@@ -6,13 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .intervals import merge_intervals
 
 EVER = 1 << 60  # us; stands for an unbounded end
 BUCKET_US = 3_600_000_000
-WIDE_BUCKETS = 24 * 31  # intervals over more buckets (or unbounded ones) are kept by key alone
+#: Buckets of an interval: the first of these multiples of the bucket size of which it spans at most SPAN, else all time.
+LEVELS, SPAN = (1, 32), 48
+TOP_US = 1 << 61
 KEYS = ("data_spec", "sensor_id", "algorithm_name", "algorithm_version")
 
 
@@ -21,23 +22,34 @@ def attach_covering(points: DataFrame, at: Column, intervals: DataFrame, keys: S
 
     Both sides have the columns `keys`. Intervals have start_us and end_us (null: unbounded), half open; those with equal
     keys and payload are merged first, so what covers a point many times over comes once. They are then cut to buckets of
-    time: a point meets one row for its key and bucket and one for its key's very long intervals, however the join is
-    done. No pairs of points and intervals are formed, and no row holds more than disjoint intervals of each payload.
-    A null key meets nothing.
+    time, the larger the longer they are, so that none makes more than about SPAN rows; what is longer than SPAN of the
+    largest buckets (64 days by default, so at most six intervals a year for each key and payload) is kept by key alone.
+    A point meets one row of each size of bucket, however the joins are done: all sizes share one table, which Spark
+    broadcasts where its own size check allows. No pairs of points and intervals are formed, and no row holds more than
+    disjoint intervals of each payload. A null key meets nothing.
     """
-    kind = T.StructType([intervals.schema[c] for c in payload])
-    slim = intervals.select(*keys, F.to_json(F.struct(*payload)).alias("_p"), F.coalesce("start_us", F.lit(-EVER)).alias("start_us"), F.coalesce("end_us", F.lit(EVER)).alias("end_us"))
-    merged = merge_intervals(slim, [*keys, "_p"]).withColumn("_x", F.struct("_p", "start_us", "end_us"))
-    first, last = F.floor(F.col("start_us") / bucket_us), F.floor((F.col("end_us") - 1) / bucket_us)
-    wide = last - first > WIDE_BUCKETS
-    narrow = merged.where(~wide).withColumn("_bucket", F.explode(F.sequence(first, last))).groupBy(*keys, "_bucket").agg(F.collect_list("_x").alias("_narrow"))
-    whole = merged.where(wide).groupBy(*keys).agg(F.collect_list("_x").alias("_wide"))
-    df = points.withColumn("_at", F.unix_micros(at)).withColumn("_bucket", F.floor(F.col("_at") / bucket_us))
-    df = df.join(narrow, [*keys, "_bucket"], "left").join(whole, list(keys), "left")
-    none = F.array().cast(narrow.schema["_narrow"].dataType)
-    t = F.col("_at")
-    hit = F.filter(F.concat(F.coalesce("_narrow", none), F.coalesce("_wide", none)), lambda x: (x["start_us"] <= t) & (t < x["end_us"]))
-    return df.withColumn("covering", F.transform(hit, lambda x: F.from_json(x["_p"], kind))).drop("_at", "_bucket", "_narrow", "_wide")
+    slim = intervals.select(*keys, *payload, F.coalesce("start_us", F.lit(-EVER)).alias("start_us"), F.coalesce("end_us", F.lit(EVER)).alias("end_us"))
+    merged = merge_intervals(slim, list(keys), also=list(payload))
+    sizes = [bucket_us * n for n in LEVELS] + [TOP_US]
+
+    def cells(level: int) -> tuple[Column, Column]:
+        """The interval's buckets of a size, and whether they are few enough."""
+        first, last = F.floor(F.col("start_us") / sizes[level]).cast("long"), F.floor((F.col("end_us") - 1) / sizes[level]).cast("long")
+        return F.transform(F.sequence(first, last), lambda b: F.struct(F.lit(level).alias("_level"), b.alias("_bucket"))), last - first <= SPAN
+
+    where = cells(len(LEVELS))[0]
+    for level in reversed(range(len(LEVELS))):
+        own, few = cells(level)
+        where = F.when(few, own).otherwise(where)
+    item = F.struct("start_us", "end_us", F.struct(*payload).alias("_p"))
+    cover = merged.select(*keys, item.alias("_x"), F.inline(where)).groupBy(*keys, "_level", "_bucket").agg(F.collect_list("_x").alias("_parts"))
+    df, t = points.withColumn("_at", F.unix_micros(at)), F.col("_at")
+    for level, size in enumerate(sizes):
+        found = cover.withColumnsRenamed({"_parts": f"_parts_{level}"})
+        df = df.withColumns({"_level": F.lit(level), "_bucket": F.floor(t / size).cast("long")}).join(found, [*keys, "_level", "_bucket"], "left").drop("_level", "_bucket")
+    none = F.array().cast(cover.schema["_parts"].dataType)
+    hit = F.filter(F.concat(*[F.coalesce(f"_parts_{i}", none) for i in range(len(sizes))]), lambda x: (x["start_us"] <= t) & (t < x["end_us"]))
+    return df.withColumn("covering", F.transform(hit, lambda x: x["_p"])).drop("_at", *[f"_parts_{i}" for i in range(len(sizes))])
 
 
 def data_filter(intervals: DataFrame, filter_id: str, inclusive: bool) -> DataFrame:

@@ -8,7 +8,8 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..functions.groups import whole_groups
 
 DAY_US = 86_400_000_000
 
@@ -47,62 +48,67 @@ class IntervalMap:
         return len(self.starts)
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come clustered by (group, slice); each group's intervals go through its IntervalMap."""
-    held: IntervalMap | None = None
-    key: tuple | None = None
-    out: dict[str, list] = {"_key": [], "_slice": [], "start_us": [], "end_us": []}
-
-    def close() -> None:
-        for s, e in held or ():
-            for c, x in zip(out, (*key, s, e)):
-                out[c].append(x)
-
-    for b in batches:
-        for k, c, s, e in zip(*(b.column(n).to_pylist() for n in ("_key", "_slice", "start_us", "end_us"))):
-            if (k, c) != key:
-                close()
-                key, held = (k, c), IntervalMap()
-            held.insert(s, e)
-        if len(out["_key"]) > 50_000:
-            yield pa.RecordBatch.from_pydict(out, _FOLDED)
-            out = {c: [] for c in out}
-    close()
-    yield pa.RecordBatch.from_pydict(out, _FOLDED)
-
-
-_FOLDED = pa.schema([("_key", pa.string()), ("_slice", pa.int64()), ("start_us", pa.int64()), ("end_us", pa.int64())])
+def _fold(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Rows come clustered by (keys, slice), first a slice's border row: no start, how far earlier slices reach as its end.
 
-
-def merge_intervals(df: DataFrame, keys: Sequence[str], slice_us: int = DAY_US) -> DataFrame:
+    Each slice's intervals go through its IntervalMap. The periods that start in the slice come out, each with the end of
+    the period before it; the last one is marked as open, with what the slice's first start has before it: that is where
+    the last period of the slices before ends.
+    """
+    for table, heads in whole_groups(batches, [*keys, "_slice"]):
+        starts, ends = table.column("start_us").to_pylist(), table.column("end_us").to_pylist()
+        out: dict[str, list] = {c: [] for c in ("at", "start_us", "end_us", "gap_start_us", "_open", "_first_before")}
+        for a, b in zip(heads.tolist(), [*heads.tolist()[1:], len(starts)]):
+            held = IntervalMap()
+            if ends[a] is not None:
+                held.insert(_BEFORE, ends[a])
+            for i in range(a + 1, b):
+                held.insert(starts[i], ends[i])
+            own = [x for x in zip(held.starts, held.ends, [None, *held.ends[:-1]]) if x[0] != _BEFORE]
+            for n, (s, e, before) in enumerate(own):
+                last = n == len(own) - 1
+                for c, x in zip(out, (a, s, e, before, last, own[0][2] if last else None)):
+                    out[c].append(x)
+        rows = pa.array(out.pop("at"), pa.int64())
+        columns = [table.column(c).combine_chunks().take(rows) for c in (*keys, "_slice", "_last_end")]
+        kinds = {"_open": pa.bool_()}
+        yield pa.RecordBatch.from_arrays([*columns, *(pa.array(v, kinds.get(c, pa.int64())) for c, v in out.items())], [*keys, "_slice", "_last_end", *out])
+
+
+_BEFORE = -(1 << 62)  # us; before anything
+
+
+def merge_intervals(df: DataFrame, keys: Sequence[str], slice_us: int = DAY_US, also: Sequence[str] = ()) -> DataFrame:
     """Maximal continuous periods of each key from its intervals [start_us, end_us), and the gap before each.
 
-    Columns: keys, start_us, end_us, gap_start_us (where the key's earlier period ends; null for the first). Intervals
-    that overlap, nest or touch belong together. Rows with a null key, a null bound or end <= start don't count;
-    repeated rows change nothing; an empty table gives no rows.
+    Columns: keys, also, start_us, end_us, gap_start_us (where the key's earlier period ends; null for the first).
+    Intervals that overlap, nest or touch belong together. Rows with a null key, a null bound or end <= start don't count;
+    columns in `also` belong to the key but may be null (null equals null). Repeated rows change nothing; an empty table
+    gives no rows.
 
-    Each (key, slice of starts) keeps an ordered interval map, so a hot key is worked on by one task for each slice.
-    Slices are then stitched: how far all earlier slices reach goes into each slice by a window over one row a slice.
+    Each (key, slice of starts) keeps an ordered interval map, so a hot key is worked on by one task for each slice. How
+    far all earlier slices reach comes from an aggregate of one row a slice, and goes into the map first; so all but the
+    last period of a slice are final as they leave it, and only one row a slice goes through the window that ends these.
     """
+    by = [*keys, *also]
     clean = df.where(F.col("start_us").isNotNull() & F.col("end_us").isNotNull() & (F.col("end_us") > F.col("start_us")))
     for k in keys:
         clean = clean.where(F.col(k).isNotNull())
-    types = T.StructType([clean.schema[k] for k in keys])
-    slim = clean.select(F.to_json(F.struct(*keys)).alias("_key"), F.floor(F.col("start_us") / slice_us).alias("_slice"), "start_us", "end_us")
-    folded = slim.repartition("_key", "_slice").sortWithinPartitions("_key", "_slice", "start_us").mapInArrow(_fold, "_key string, _slice long, start_us long, end_us long")
+    names = [f"_k{i}" for i in range(len(by))]  # callers' names can't clash with those used in between
+    none = F.lit(None).cast("long")
+    slim = clean.select(*[F.col(k).alias(n) for k, n in zip(by, names)], F.floor(F.col("start_us") / slice_us).alias("_slice"), F.col("start_us").cast("long").alias("start_us"), F.col("end_us").cast("long").alias("end_us"))
 
-    per_slice = folded.groupBy("_key", "_slice").agg(F.max("end_us").alias("reach"))
-    w = Window.partitionBy("_key").orderBy("_slice")
-    per_slice = per_slice.withColumns({"carry": F.max("reach").over(w.rowsBetween(Window.unboundedPreceding, -1)), "last_end": F.max("reach").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))}).drop("reach")
+    w = Window.partitionBy(*names).orderBy("_slice")
+    reach = slim.groupBy(*names, "_slice").agg(F.max("end_us").alias("_reach"))
+    borders = reach.select(*names, "_slice", none.alias("start_us"), F.max("_reach").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("end_us"), F.max("_reach").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_last_end"))
 
-    in_slice = Window.partitionBy("_key", "_slice").orderBy("start_us")
-    both = folded.join(per_slice, ["_key", "_slice"])
-    both = both.withColumn("before", F.greatest("carry", F.lag("end_us").over(in_slice)))  # greatest passes over nulls
-    starts = both.where(F.col("before").isNull() | (F.col("start_us") > F.col("before"))).select("_key", "_slice", "start_us", "before", "last_end")
-    firsts = starts.groupBy("_key", "_slice").agg(F.min_by("before", "start_us").alias("first_before"))
-    firsts = firsts.withColumn("next_before", F.lead("first_before").over(w)).drop("first_before")
-    ends = starts.join(firsts, ["_key", "_slice"]).withColumn("end_us", F.coalesce(F.lead("before").over(in_slice), F.col("next_before"), F.col("last_end")))
-    return ends.select(F.from_json("_key", types).alias("k"), "start_us", "end_us", F.col("before").alias("gap_start_us")).select("k.*", "start_us", "end_us", "gap_start_us")
+    both = slim.withColumn("_last_end", none).unionByName(borders).repartition(*names, "_slice").sortWithinPartitions(*names, "_slice", F.col("start_us").asc_nulls_first())
+    kinds = ", ".join(f"{n} {slim.schema[n].dataType.simpleString()}" for n in names)
+    folded = both.mapInArrow(lambda b: _fold(b, names), f"{kinds}, _slice long, _last_end long, start_us long, end_us long, gap_start_us long, _open boolean, _first_before long")
+    # periods that are final have a window group of their own slice; the open ones of a key meet in one
+    order = Window.partitionBy(*names, F.when(~F.col("_open"), F.col("_slice"))).orderBy("_slice", "start_us")
+    end = F.when(F.col("_open"), F.coalesce(F.lead("_first_before").over(order), F.col("_last_end"))).otherwise(F.col("end_us"))
+    return folded.select(*[F.col(n).alias(k) for k, n in zip(by, names)], "start_us", end.alias("end_us"), "gap_start_us")
 
 
 def periods_and_gaps(df: DataFrame, keys: Sequence[str], longest_gap_us: int, slice_us: int = DAY_US) -> DataFrame:
@@ -135,5 +141,3 @@ def outside(points: DataFrame, merged: DataFrame, keys: Sequence[str], at: str,
     df = points.withColumn("_bucket", F.floor(F.col(at) / bucket_us)).join(cover, [*keys, "_bucket"], "left")
     hit = F.exists("_parts", lambda p: (F.col(at) >= p["s"]) & (F.col(at) < p["e"]))
     return df.where(F.col("_parts").isNull() | ~hit).drop("_bucket", "_parts")
-
-

@@ -6,7 +6,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.groups import whole_groups
@@ -135,9 +135,19 @@ def cover_table(merged: DataFrame, keys: Sequence[str], bucket_us: int) -> DataF
     return merged.select(*keys, "start_us", "end_us", b).groupBy(*keys, "_bucket").agg(F.collect_list(F.struct(F.col("start_us").alias("s"), F.col("end_us").alias("e"))).alias("_parts"))
 
 
+def _with_cover(points: DataFrame, merged: DataFrame, keys: Sequence[str], at: str, bucket_us: int, how: str) -> tuple[DataFrame, Column]:
+    cover = cover_table(merged, keys, bucket_us)
+    df = points.withColumn("_bucket", F.floor(F.col(at) / bucket_us)).join(cover, [*keys, "_bucket"], how)
+    return df, F.exists("_parts", lambda p: (F.col(at) >= p["s"]) & (F.col(at) < p["e"]))
+
+
 def outside(points: DataFrame, merged: DataFrame, keys: Sequence[str], at: str, bucket_us: int) -> DataFrame:
     """Points (with a time column `at`, us) that lie in no interval of their keys."""
-    cover = cover_table(merged, keys, bucket_us)
-    df = points.withColumn("_bucket", F.floor(F.col(at) / bucket_us)).join(cover, [*keys, "_bucket"], "left")
-    hit = F.exists("_parts", lambda p: (F.col(at) >= p["s"]) & (F.col(at) < p["e"]))
+    df, hit = _with_cover(points, merged, keys, at, bucket_us, "left")
     return df.where(F.col("_parts").isNull() | ~hit).drop("_bucket", "_parts")
+
+
+def inside(points: DataFrame, merged: DataFrame, keys: Sequence[str], at: str, bucket_us: int) -> DataFrame:
+    """Points (with a time column `at`, us) that lie in an interval of their keys."""
+    df, hit = _with_cover(points, merged, keys, at, bucket_us, "inner")
+    return df.where(hit).drop("_bucket", "_parts")

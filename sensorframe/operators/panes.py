@@ -35,9 +35,10 @@ class PaneSpec:
         return math.gcd(self.size, self.slide)
 
 
-def pane_partials(events: DataFrame, keys: Sequence[str], spec: PaneSpec, event: str, arrival: str, count: Column, total: Column) -> DataFrame:
+def pane_partials(events: DataFrame, keys: Sequence[str], spec: PaneSpec, event: str, arrival: str, count: Column, total: Column, gone: int | None = None) -> DataFrame:
     """One row for each key, pane and class of lateness: columns _pane, _first, _last (covering windows' numbers), _published
-    and _closed (the highest window number already published or closed when the events came), _events, _n and _total."""
+    and _closed (the highest window number already published or closed when the events came), _events, _n, _total and _seen
+    (the greatest arrival). Windows up to number `gone` count as closed whenever the events came."""
     df = events.select(*keys, F.col(event).alias("_event"), F.col(arrival).alias("_arrival"), count.alias("_n"), total.alias("_total"))
     start = F.floor(F.col("_event") / spec.pane) * spec.pane
     df = df.withColumns({"_last": F.floor(start / spec.slide), "_first": F.floor((start - spec.size) / spec.slide) + 1, "_pane": start})
@@ -46,9 +47,10 @@ def pane_partials(events: DataFrame, keys: Sequence[str], spec: PaneSpec, event:
         m = F.floor((F.col("_arrival") - spec.size - delay) / spec.slide)
         return F.greatest(F.col("_first") - 1, F.least(F.col("_last"), m))
 
-    df = df.withColumns({"_published": reached(spec.publish), "_closed": reached(spec.close)})
+    closed = reached(spec.close)
+    df = df.withColumns({"_published": reached(spec.publish), "_closed": closed if gone is None else F.greatest(closed, F.least(F.col("_last"), F.lit(gone).cast("long")))})
     by = [*keys, "_pane", "_first", "_last", "_published", "_closed"]
-    return df.where("_first <= _last").groupBy(*by).agg(F.count(F.lit(1)).alias("_events"), F.sum("_n").alias("_n"), F.sum("_total").alias("_total"))
+    return df.where("_first <= _last").groupBy(*by).agg(F.count(F.lit(1)).alias("_events"), F.sum("_n").alias("_n"), F.sum("_total").alias("_total"), F.max("_arrival").alias("_seen"))
 
 
 def compose_windows(partials: DataFrame, keys: Sequence[str], spec: PaneSpec) -> DataFrame:
@@ -81,12 +83,16 @@ def late_corrected(events: DataFrame, keys: Sequence[str], spec: PaneSpec, event
     return compose_windows(pane_partials(events, keys, spec, event, arrival, count, F.coalesce(total, F.lit(0.0))), keys, spec)
 
 
-def corrected_periods(effective: DataFrame, spec: PaneSpec = PaneSpec()) -> DataFrame:
-    """Hourly counts and totals of `rate` per device over effective rows; a changed reading replaces its former value."""
-    rows = effective.where("device_id is not null")
-    count = F.when(F.col("is_first"), 1).otherwise(0)
+def period_events(effective: DataFrame) -> DataFrame:
+    """device_id, measured_us, arrival_us, n and total: what each effective row with a device adds to its period; a changed
+    reading takes back its former value."""
     total = F.coalesce("rate", F.lit(0.0)) - F.when(F.col("is_first"), 0.0).otherwise(F.coalesce("previous_rate", F.lit(0.0)))
-    return late_corrected(rows, ["device_id"], spec, "measured_us", "arrival_us", count, total)
+    return effective.where("device_id is not null").select("device_id", "measured_us", "arrival_us", F.when(F.col("is_first"), 1).otherwise(0).alias("n"), total.alias("total"))
+
+
+def corrected_periods(effective: DataFrame, spec: PaneSpec = PaneSpec()) -> DataFrame:
+    """Hourly counts and totals of `rate` per device over effective rows."""
+    return late_corrected(period_events(effective), ["device_id"], spec, "measured_us", "arrival_us", F.col("n"), F.col("total"))
 
 
 def period_outcomes(periods: DataFrame) -> DataFrame:

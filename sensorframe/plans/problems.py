@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.timeparse import range_bounds
 from ..operators import grid, incremental, intervals, panes, readings, spikes
-from ..sources.tables import load
+from ..sources.tables import load, shared_folder
+from ..streaming import groups
+from ..streaming import panes as stream_panes
+from ..streaming.replay import replay, run_to_end
 
 LONGEST_GAP_US = 72 * 3_600_000_000
 
@@ -20,12 +24,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_periods(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     p = panes.corrected_periods(_effective(spark, d))
     return p.select("device_id", "window_start_us", "n_initial", F.round("total_initial", 2).alias("total_initial"), "n_final", F.round("total_final", 2).alias("total_final"), "late_events", "dropped_events")
 
 
+def p1_stream_periods(spark: SparkSession, d: str) -> DataFrame:
+    """p1_periods from a stream of the effective rows in the order of their arrival, through the store of panes."""
+    rows = panes.period_events(_effective(spark, d))
+    periods = stream_panes.stream_to_end(replay(rows, F.col("arrival_us"), 5), shared_folder(spark, "panes"), ["device_id"], panes.PaneSpec(), "measured_us", "arrival_us", F.col("total"), F.col("n"))
+    return periods.withColumns({c: F.round(c, 2) for c in ("total_initial", "total_final")})
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return incremental.unread_rows(_effective(spark, d), load(spark, d, "incremental_run")).select("registry", "row_id")
 
@@ -34,6 +43,36 @@ def p2_processed(spark: SparkSession, d: str) -> DataFrame:
     return incremental.processed_intervals(load(spark, d, "incremental_run"))
 
 
+def p2_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """p2_found through the ledger: runs over what is pending, of which the first dies between output and commit."""
+    log = load(spark, d, "incremental_run")
+    at = shared_folder(spark, "effective")
+    incremental.registry_rows(_effective(spark, d), log).select("registry", "row_id", "arrival_us").write.parquet(at)
+    rows = spark.read.parquet(at)
+    ledger = incremental.IntervalLedger(spark, shared_folder(spark, "ledger"), ["registry"])
+    ledger.seed(incremental.processed_intervals(log))
+    b = rows.agg(F.min("arrival_us").alias("a"), F.max("arrival_us").alias("b")).first()  # two numbers
+    a, z = (b["a"], b["b"] + 1) if b["a"] is not None else (0, 1)
+
+    def available(until: int) -> DataFrame:
+        return rows.select("registry").distinct().select("registry", F.lit(a).alias("start_us"), F.lit(until).alias("end_us"))
+
+    def work(new: DataFrame) -> DataFrame:
+        return new.select("registry", "row_id")
+
+    def dies() -> None:
+        raise InterruptedError("between output and commit")
+
+    try:
+        ledger.run(rows, "arrival_us", available((a + z) // 2), work, dies)
+    except InterruptedError:
+        pass
+    for until in ((a + z) // 2, z):
+        ledger.run(rows, "arrival_us", available(until), work)
+    out = ledger.output()
+    return out if out is not None else work(rows).where("false")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return range_bounds(load(spark, d, "filter_range"), load(spark, d, "data_source"))
 
@@ -43,6 +82,15 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return intervals.periods_and_gaps(rows, ["device_id", "annotation_label"], LONGEST_GAP_US)
 
 
+def p4_stream(spark: SparkSession, d: str) -> DataFrame:
+    """p4_found from a stream of the intervals, up to twelve hours out of order, through interval maps in keyed state."""
+    rows = load(spark, d, "annotation").select(F.col("annotation_metadata.device_id").alias("device_id"), "annotation_label", F.col("start_timestamp_utc").alias("start"), F.col("end_timestamp_utc").alias("end"), "annotation_id")
+    mixed = F.unix_micros("start") + F.pmod(F.xxhash64("annotation_id"), F.lit(12 * 3_600_000_000))
+    keys = ["device_id", "annotation_label"]
+    told = groups.last_revisions(run_to_end(groups.stream_intervals(replay(rows, mixed, 5), keys), "intervals"), keys)
+    return told.where((F.col("kind") == "period") | (F.col("end_us") - F.col("start_us") <= LONGEST_GAP_US))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return grid.filled_slots(load(spark, d, "unpacked_ppg"))
 
@@ -52,7 +100,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_periods, p2_found, p2_processed, p3_found, p4_found, p5_found, p6_found)}
+    return {f.__name__: f for f in (p1_found, p1_periods, p1_stream_periods, p2_found, p2_processed, p2_ledger, p3_found, p4_found, p4_stream, p5_found, p6_found)}
 
 
 EFFECTIVE = """
@@ -95,7 +143,7 @@ intervals as (select registry, start_us, end_us from last_rows where rn = 1 and
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    sql = {
         "p1_found": f"""with {PERIODS}
             select distinct device_id, hour * 3600000 as period_start_ms, 'corrected' as outcome from events where late and not dropped
             union all select distinct device_id, hour * 3600000, 'dropped' from events where dropped""",
@@ -123,3 +171,4 @@ def oracle_sql() -> dict[str, str]:
             select device_id, annotation_label, 'period' as kind, start_us, end_us from merged
             union all select device_id, annotation_label, 'gap', end_us, next_us from nexts where next_us - end_us <= {LONGEST_GAP_US}""",
     }
+    return sql | {"p1_stream_periods": sql["p1_periods"], "p2_ledger": sql["p2_found"], "p4_stream": sql["p4_found"]}

@@ -667,10 +667,11 @@ def participant_enrichment(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {PTS} select device_id, t // {HOUR} * {HOUR} as start_us, count(*) as n from pts group by 1, 2")
 def stream_window_count(spark: SparkSession, d: str) -> DataFrame:
-    from ..streaming.windows import available_now, hourly_counts
+    from ..streaming.replay import replay, run_to_end
+    from ..streaming.windows import hourly_counts, last_rows
 
-    schema = pts(spark, d).schema
-    return available_now(spark, f"{d}/datapoint.parquet", schema, hourly_counts)
+    stream = replay(pts(spark, d), F.coalesce(F.col("data_point_metadata.sensor_store_metadata.sensor_store_write_time"), F.col("measurement_timestamp_utc")), 4)
+    return last_rows(run_to_end(hourly_counts(stream), "hours", "update"), ["device_id", "start_us"])
 
 
 def queries() -> dict:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tables import file_system, read_text, write_atomically
+
 IDENTIFIER = re.compile(r"[A-Za-z0-9._-]{1,64}")
 
 
@@ -67,7 +69,7 @@ class SensorTables:
         if end is not None:
             df = df.where(F.col(at) <= end)
         if remove_duplicates:
-            df = df.dropDuplicates([c for c in df.columns if c != "row_id"])
+            df = remove_redelivered(df, device, at)
         return df.limit(limit) if limit is not None else df
 
     def filter_table(self, table: str, labels: Sequence[str] | None = None, version: str | int | None = None, version_field: str = "version_name") -> DataFrame:
@@ -86,6 +88,18 @@ class SensorTables:
         w.parquet(f"{self.folder}/{table}.parquet") if self.folder else w.saveAsTable(f"`{self.database}`.`{table}`")
 
 
+def remove_redelivered(points: DataFrame, device: str = "data_point_metadata.device_id", at: str = "measurement_timestamp_utc") -> DataFrame:
+    """One row of each reading: of device, data source, measurement time and payload. Which delivery stays is not fixed.
+
+    Write times, labels and the rest of data_point_metadata, and row_id, don't tell readings apart; null equals null.
+    """
+    meta = device.rpartition(".")[0]
+    source = [F.col(f"{meta}.data_source_id").alias("_source")] if meta and "data_source_id" in points.schema[meta].dataType.names else []
+    payload = [c for c in points.columns if c not in (meta, at, "row_id")]
+    marked = points.select("*", F.col(device).alias("_device"), *source)
+    return marked.dropDuplicates(["_device", *(["_source"] if source else []), at, *payload]).drop("_device", "_source")
+
+
 def filter_rows(annotation: DataFrame) -> DataFrame:
     """device_id, start_us, end_us and the data_spec that the first input of an annotation names (null: any)."""
     return annotation.select(
@@ -168,24 +182,21 @@ def with_participants(points: DataFrame, users: DataFrame) -> DataFrame:
 
 
 class RunState:
-    """The end of the last write-time range a registry has read, one JSON file for each registry, on any Hadoop file system."""
+    """The end of the last write-time range a registry has read, one JSON file for each registry, on any Hadoop file
+    system. A commit replaces the file as a whole: a run that dies leaves the former state."""
 
     def __init__(self, spark: SparkSession, folder: str, registry: str, look_back: timedelta = timedelta(days=3)):
         self.spark, self.look_back = spark, look_back
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{identifier(registry, 'registry')}.json")
-        self._fs = self._path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.path = f"{folder.rstrip('/')}/{identifier(registry, 'registry')}.json"
 
     def next_range(self, now: datetime | None = None) -> tuple[datetime, datetime]:
         """[last end, now); without a state file it begins `look_back` before now."""
         now = now or datetime.now(timezone.utc)
-        if not self._fs.exists(self._path):
+        path, fs = file_system(self.spark, self.path)
+        if not fs.exists(path):
             return now - self.look_back, now
-        text = "".join(r.value for r in self.spark.read.text(self._path.toString()).collect())
-        return datetime.fromisoformat(json.loads(text)["last_write_end_time"]), now
+        return datetime.fromisoformat(json.loads(read_text(self.spark, self.path))["last_write_end_time"]), now
 
     def commit(self, end: datetime) -> None:
         """Notes that everything written before `end` has been read: the range actually read, not the time of the call."""
-        out = self._fs.create(self._path, True)
-        out.write(bytearray(json.dumps({"last_write_end_time": end.isoformat()}).encode()))
-        out.close()
+        write_atomically(self.spark, self.path, json.dumps({"last_write_end_time": end.isoformat()}), overwrite=True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,41 +14,50 @@ from pyspark.sql import types as T
 from ..operators.intervals import IntervalMap
 
 
-def stream_intervals(intervals: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Continuous periods and gaps of a stream of intervals with columns key (string), start and end (timestamps).
+def stream_intervals(intervals: DataFrame, keys: Sequence[str] = ("key",), lateness: str = "1 day") -> DataFrame:
+    """Continuous periods and gaps of a stream of intervals with columns keys, start and end (timestamps).
 
     Each key keeps an ordered map of disjoint intervals; an insertion finds its overlaps by binary search and merges
-    them. After each batch that changes a key, its changed periods and the gaps before them come out with revision
-    numbers: key, kind, start_us, end_us, revision. Rows that start before the watermark are left out, and periods that
-    end before it leave the state, but for the last one, from which the next gap is counted.
+    them. After each batch that changes a key, the periods and gaps that have become true come out with live = true and
+    those that no longer hold with live = false: keys, kind, start_us, end_us, live, revision. The last revision of each
+    (key, kind, start, end) tells whether it holds.
+
+    Rows with a null key or bound, with end <= start, or that start before the watermark are left out. Periods that end
+    before the watermark are final and leave the state, but for the last one, from which the next gap is counted; so a
+    key's state is bounded by what `lateness` spans.
     """
-    rows = intervals.where("key is not null and start is not null and end > start").withWatermark("start", lateness)
+    valid = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    rows = intervals.where(valid & F.col("start").isNotNull() & (F.col("end") > F.col("start"))).select(*keys, "start", "end").withWatermark("start", lateness)
 
     def step(key, frames, state):  # noqa: ANN001, ANN202
-        starts, ends, revision = pickle.loads(state.get[0]) if state.exists else ([], [], 0)
-        held = IntervalMap(starts, ends)
-        before = set(held)
+        starts, ends, revision = pickle.loads(state.get[0]) if state.exists else ((), (), 0)
+        held, mark = IntervalMap(starts, ends), state.getCurrentWatermarkMs() * 1000
+        before = _told(held)
         for f in frames:
             s, e = (f[c].to_numpy().astype("datetime64[us]").astype("int64") for c in ("start", "end"))
-            for a, b in zip(s.tolist(), e.tolist()):
+            for a, b in zip(s[s >= mark].tolist(), e[s >= mark].tolist()):
                 held.insert(a, b)
-        revision += 1
-        out = []
-        for i, (a, b) in enumerate(held):
-            if (a, b) not in before:
-                out.append(("period", a, b))
-                if i:
-                    out.append(("gap", held.ends[i - 1], a))
-        mark = state.getCurrentWatermarkMs() * 1000
-        last = (held.starts[-1], held.ends[-1]) if len(held) else None
-        held.evict(mark)
-        if last and not len(held):
-            held.insert(*last)
-        state.update((pickle.dumps((held.starts, held.ends, revision)),))
-        yield pd.DataFrame([(key[0], *o, revision) for o in out], columns=["key", "kind", "start_us", "end_us", "revision"])
-
-    schema = "key string, kind string, start_us long, end_us long, revision int"
-    return rows.groupBy("key").applyInPandasWithState(step, schema, "state binary", "append", "NoTimeout")
+        after = _told(held)
+        out = [(*x, False) for x in sorted(before - after)] + [(*x, True) for x in sorted(after - before)]
+        final = held.evict(mark)
+        if final:
+            held.insert(*final[-1])
+        state.update((pickle.dumps((held.starts, held.ends, revision + 1)),))
+        yield pd.DataFrame([(*key, *o, revision + 1) for o in out], columns=[*keys, "kind", "start_us", "end_us", "live", "revision"])
+
+    kinds = ", ".join(f"`{k}` {intervals.schema[k].dataType.simpleString()}" for k in keys)
+    schema = f"{kinds}, kind string, start_us long, end_us long, live boolean, revision int"
+    return rows.groupBy(*keys).applyInPandasWithState(step, schema, "state binary", "append", "NoTimeout")
+
+
+def _told(held: IntervalMap) -> set[tuple[str, int, int]]:
+    return {("period", a, b) for a, b in held} | {("gap", a, b) for a, b in held.gaps()}
+
+
+def last_revisions(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, kind, start_us and end_us of what holds after all rows of stream_intervals."""
+    by = [*keys, "kind", "start_us", "end_us"]
+    return rows.groupBy(*by).agg(F.max_by("live", "revision").alias("live")).where("live").select(*by)
 
 
 def stream_groups(rows: DataFrame, keys: Sequence[str], at: str, window: str, func: Callable[[pd.DataFrame], pd.DataFrame], schema: str | T.StructType, lateness: str = "10 minutes") -> DataFrame:

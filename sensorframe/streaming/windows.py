@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import os
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from ..sources.tables import shared_folder
 
 
 def hourly_counts(points: DataFrame, lateness: str = "365 days") -> DataFrame:
@@ -22,22 +19,7 @@ def hourly_counts(points: DataFrame, lateness: str = "365 days") -> DataFrame:
     return g.select("device_id", F.unix_micros("w.start").alias("start_us"), "n")
 
 
-def available_now(spark: SparkSession, path: str, schema: T.StructType, work, **options: str) -> DataFrame:  # noqa: ANN001
-    """Runs `work` over all files now at `path` as a stream in update mode, and returns its final rows as a table.
-
-    Each batch is written to the shared folder under its number, so a batch that is run again replaces itself; of a key
-    that several batches updated, the last row counts. Options: key columns under `keys`, else device_id and start_us.
-    """
-    out = shared_folder(spark, "stream")
-    source = path if os.path.isdir(path) or "*" in path else os.path.join(os.path.dirname(path), "*")
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet")
-    if not os.path.isdir(path):
-        reader = reader.option("pathGlobFilter", os.path.basename(path))
-    stream = work(reader.parquet(source if os.path.isdir(path) else os.path.dirname(path)))
-    keep = lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batches/batch={n}")
-    q = stream.writeStream.outputMode("update").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
-    q.awaitTermination()
-    keys = options.get("keys", "device_id,start_us").split(",")
-    rows = spark.read.parquet(f"{out}/batches")
-    rest = [c for c in rows.columns if c not in (*keys, "batch")]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
+def last_rows(batches: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of the rows of a stream in update mode (see replay.run_to_end), the last of each key."""
+    rest = [c for c in batches.columns if c not in (*keys, "batch")]
+    return batches.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")

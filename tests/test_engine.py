@@ -149,10 +149,18 @@ def test_run_state(spark, tmp_path):
     assert s.next_range(T0) == (T0 - timedelta(days=3), T0)
     s.commit(T0)
     assert s.next_range(T0 + timedelta(hours=1)) == (T0, T0 + timedelta(hours=1))
+    s.commit(T0 + timedelta(hours=2))
+    assert s.next_range(T0 + timedelta(hours=3)) == (T0 + timedelta(hours=2), T0 + timedelta(hours=3))
     with pytest.raises(ValueError):
         catalog.StreamSource()
 
 
+def test_redelivered_readings(spark):
+    rows = [("d", 1, None, None, T0, [], T0, 1.0), ("d", 1, "p", 1, T0 + timedelta(1), ["x"], T0, 1.0), ("d", 1, None, None, T0, [], T0, 2.0), ("d", 2, None, None, T0, [], T0, 1.0), (None, 1, None, None, T0, [], T0, None), (None, 1, None, None, T0 + timedelta(1), None, T0, None)]
+    df = points(spark, rows, ", rate double").withColumn("row_id", F.monotonically_increasing_id())
+    assert catalog.remove_redelivered(df).count() == 4 and catalog.remove_redelivered(df).columns == df.columns
+
+
 # predicates ---------------------------------------------------------------------------------------------------------
 
 

@@ -131,19 +131,51 @@ def test_unread_rows(spark):
 
 def test_ledger_survives_failures(spark, tmp_path):
     source = spark.range(100).withColumnRenamed("id", "seq")
-    ledger = incremental.IntervalLedger(spark, str(tmp_path / "ledger"))
-    assert ledger.run(source, "seq", [(0, 40)], lambda d: d) == [(0, 40)]
-
-    def fails(d):
+    ledger = incremental.IntervalLedger(spark, str(tmp_path / "ledger"), bucket=16)
+    ranges = lambda *xs: spark.createDataFrame(list(xs), "start_us long, end_us long")
+    spans = lambda df: sorted((r.start_us, r.end_us) for r in df.collect())
+    run = lambda xs, work=lambda d: d, hook=None: ledger.run(source, "seq", ranges(*xs), work, hook)
+    assert ledger.output() is None and spans(ledger.pending(ranges((3, 9)))) == [(3, 9)]
+    assert run([(0, 40)])
+
+    def fails(*_):
         raise RuntimeError("lost")
 
-    with pytest.raises(RuntimeError):
-        ledger.run(source, "seq", [(0, 80)], fails)
-    assert ledger.run(source, "seq", [(0, 60), (70, 90)], lambda d: d) == [(40, 60), (70, 90)]
-    assert ledger.pending([(0, 100)]) == [(60, 70), (90, 100)]
-    ledger.run(source, "seq", [(0, 100)], lambda d: d)
-    assert sorted(r.seq for r in ledger.output().collect()) == list(range(100))
-    assert ledger.run(source, "seq", [(0, 100)], lambda d: d) == []
+    for work, hook in ((fails, None), (lambda d: d, fails)):  # before any output, and between output and commit
+        with pytest.raises(RuntimeError):
+            run([(0, 80)], work, hook)
+    assert spans(ledger.processed()) == [(0, 40)]
+    assert run([(0, 60), (70, 90)]) and spans(ledger.processed()) == [(0, 60), (70, 90)]
+    assert spans(ledger.pending(ranges((0, 100)))) == [(60, 70), (90, 100)]
+    assert run([(0, 100)]) and sorted(r.seq for r in ledger.output().collect()) == list(range(100))
+    assert not run([(0, 100)])
+
+
+def test_two_runs_with_one_version(spark, tmp_path):
+    ledger = incremental.IntervalLedger(spark, str(tmp_path / "ledger"), bucket=16)
+    source, all_ = spark.range(50).withColumnRenamed("id", "seq"), spark.createDataFrame([(0, 50)], "start_us long, end_us long")
+    other = lambda: ledger.run(source, "seq", all_, lambda d: d)
+    with pytest.raises(Exception, match="(?i)exist"):
+        ledger.run(source, "seq", all_, lambda d: d, other)
+    assert sorted(r.seq for r in ledger.output().collect()) == list(range(50))
+
+
+def test_subtract(spark):
+    r = random.Random(8)
+    sides = []
+    for _ in range(2):
+        rows = []
+        for k in "ab":
+            m = intervals.IntervalMap()
+            for _ in range(6):
+                s = r.randrange(100)
+                m.insert(s, s + r.randrange(1, 15))
+            rows += [(k, s, e) for s, e in m]
+        sides.append(rows)
+    kind = "k string, start_us long, end_us long"
+    got = incremental.subtract(*[spark.createDataFrame(x, kind) for x in sides], ["k"]).collect()
+    cells = lambda rows: {(k, t) for k, s, e in rows for t in range(s, e)}
+    assert cells(tuple(x) for x in got) == cells(sides[0]) - cells(sides[1])
 
 
 @given(st.lists(st.tuples(st.integers(0, 60), st.integers(-3, 12)), max_size=40))

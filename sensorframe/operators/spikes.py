@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
+from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
@@ -15,10 +16,13 @@ from ..functions.groups import sliced, whole_groups
 
 SLICE_US = 2 * 3_600_000_000
 NEAR_US = 180_000_000  # "shortly before and after"
-PERIOD_US = 60_000_000  # of the seasonal part
+#: Periods a source may repeat itself in, s: cycles of sampling, reporting and breathing by the clock.
+PERIODS = (10, 15, 20, 30, 45, 60, 90, 120, 180, 300, 600, 900)
+PHASES = 12  # of a period
 SIDE = 5  # readings on either side that make the trend
 ROUNDS = 3
-RATIO = 10.0  # a spike departs by more than so many usual variations
+ALPHA = 0.05  # level of the outlier test
+RATIO = 10.0  # a case departs by more than so many usual variations
 STUCK = 8  # successive distinct times with the same value
 #: The sensors' ranges.
 RANGES = {"imu": (-32768.0, 32767.0), "eda": (0.0, 1048575.0)}
@@ -26,7 +30,8 @@ RANGES = {"imu": (-32768.0, 32767.0), "eda": (0.0, 1048575.0)}
 MEDIAN_DIFFERENCE = 0.6744897501960817 * math.sqrt(2)
 
 
-def esd_limits(n: int, most: int, alpha: float = 0.05) -> np.ndarray:
+@lru_cache(maxsize=1 << 14)
+def esd_limits(n: int, most: int, alpha: float = ALPHA) -> np.ndarray:
     """Critical values of the generalised extreme studentised deviate test for the 1st to `most`-th outlier of n.
 
     Student's quantiles come from the normal ones by the Cornish-Fisher expansion.
@@ -39,13 +44,40 @@ def esd_limits(n: int, most: int, alpha: float = 0.05) -> np.ndarray:
     return m * t / np.sqrt((v + t**2) * (m + 1))
 
 
+def esd_outliers(rest: np.ndarray, alpha: float = ALPHA) -> np.ndarray:
+    """Which residuals are outliers by the generalised ESD test with a robust scale.
+
+    The greatest residual goes first; the scale (the median absolute residual, as residuals centre on 0 by construction)
+    is taken again of what is left after each removal, up to half of them. The outliers are all up to the last one beyond
+    its limit. A scale of 0 puts every other residual beyond.
+    """
+    flags = np.zeros(len(rest), bool)
+    n = len(rest)
+    if n < 5:
+        return flags
+    order = np.argsort(np.abs(rest), kind="stable")
+    size = np.abs(rest)[order]
+    most = n // 2
+    left = n - np.arange(most)  # how many are left before each removal
+    scale = 1.4826 * (size[(left - 1) // 2] + size[left // 2]) / 2
+    top = size[left - 1]
+    beyond = np.flatnonzero((top > 0) & (top > esd_limits(n, most, alpha) * scale))
+    if len(beyond):
+        flags[order[n - 1 - beyond[-1] :]] = True
+    return flags
+
+
 def level_beside(at: np.ndarray, v: np.ndarray, group: np.ndarray, usable: np.ndarray, direction: int) -> np.ndarray:
-    """The median of up to SIDE usable readings before (direction -1) or after (1) each reading, within NEAR_US; NaN if none."""
+    """The median of up to SIDE usable readings at times before (direction -1) or after (1) each reading, within NEAR_US;
+    NaN if none. Of usable readings each time has one."""
     idx = np.flatnonzero(usable)
     if not len(idx):
         return np.full(len(v), np.nan)
     here = np.arange(len(v))
-    base = np.searchsorted(idx, here, "left") - 1 if direction < 0 else np.searchsorted(idx, here, "right")
+    new = np.r_[True, (at[1:] != at[:-1]) | (group[1:] != group[:-1])]
+    head = np.maximum.accumulate(np.where(new, here, 0))  # the first reading of the same time
+    tail = np.append(np.flatnonzero(new)[1:], len(v))[np.cumsum(new) - 1] - 1
+    base = np.searchsorted(idx, head, "left") - 1 if direction < 0 else np.searchsorted(idx, tail, "right")
     near = np.full((SIDE, len(v)), np.nan)
     for k in range(SIDE):
         j = base + direction * k
@@ -60,65 +92,84 @@ def level_beside(at: np.ndarray, v: np.ndarray, group: np.ndarray, usable: np.nd
     return np.where(count > 0, out, np.nan)
 
 
-def season(at: np.ndarray, rest: np.ndarray, group: np.ndarray, scale: np.ndarray, usable: np.ndarray, period_us: int, phases: int = 12) -> np.ndarray:
-    """A robust seasonal part: the median rest by phase of the period, where a group has enough readings of each phase
-    and the pattern stands out of the noise; else 0."""
-    out = np.zeros(len(rest))
-    if not len(rest):
-        return out
-    phase = (at % period_us) * phases // period_us
-    code = group * phases + phase
-    ok = usable & ~np.isnan(rest)
-    order = np.lexsort((rest[ok], code[ok]))
-    c, r = code[ok][order], rest[ok][order]
-    if not len(c):
-        return out
-    first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+def medians(code: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes in order, median of the values of each, how many)."""
+    order = np.lexsort((v, code))
+    c, r = code[order], v[order]
+    first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]]) if len(c) else np.zeros(0, int)
     n = np.diff(np.append(first, len(c)))
-    middle = (r[first + (n - 1) // 2] + r[first + n // 2]) / 2
-    table = np.zeros((group.max() + 1) * phases)
-    counts = np.zeros_like(table)
-    table[c[first]], counts[c[first]] = middle, n
-    table, counts = table.reshape(-1, phases), counts.reshape(-1, phases)
+    return c[first], (r[first + (n - 1) // 2] + r[first + n // 2]) / 2, n
+
+
+def season(at: np.ndarray, v: np.ndarray, group: np.ndarray, usable: np.ndarray, period: np.ndarray) -> np.ndarray:
+    """A robust seasonal part: by phase of the source's period (us; 0: none), the median of the readings less the median
+    of their own cycle, joined by straight lines; 0 in groups whose pattern doesn't stand out of the error of its medians."""
+    out = np.zeros(len(v))
+    ok = usable & (period > 0)
+    if not ok.any():
+        return out
+    long = np.maximum(period, 1)
+    _, where = np.unique(np.stack([group[ok], at[ok] // long[ok]]), axis=1, return_inverse=True)
+    where = where.ravel()
+    rest = v[ok] - medians(where, v[ok])[1][where]
+    place = at % long / long * PHASES
+    table, counts = np.zeros((group.max() + 1) * PHASES), np.zeros((group.max() + 1) * PHASES)
+    c, middle, n = medians(group[ok] * PHASES + place[ok].astype(int), rest)
+    table[c], counts[c] = middle, n
+    table, counts = table.reshape(-1, PHASES), counts.reshape(-1, PHASES)
     unit = np.zeros(len(table))
-    unit[group] = scale
-    error = 1.2533 * unit / np.sqrt(np.maximum(counts.mean(1), 1))
-    real = (counts.min(1) >= 5) & (np.nan_to_num(table).std(1) > 3 * error) & (error > 0)
-    table[~real] = 0
-    return table.ravel()[code]
+    g, spread, _ = medians(group[ok], np.abs(rest))
+    unit[g] = 1.4826 * spread
+    seen = counts > 0
+    error2 = (1.5708 * unit[:, None] ** 2 / np.maximum(counts, 1) * seen).sum(1)  # of all phases' medians together
+    table[~(((table**2).sum(1) > 9 * error2) & (seen.sum(1) > PHASES // 2))] = 0
+    left = np.floor(place - 0.5).astype(int)
+    part = place - 0.5 - left
+    return np.where(period > 0, (1 - part) * table[group, left % PHASES] + part * table[group, (left + 1) % PHASES], 0)
 
 
-def spike_flags(at: np.ndarray, v: np.ndarray, group: np.ndarray, scale: np.ndarray, usable: np.ndarray, period_us: int, ratio: float = RATIO) -> np.ndarray:
+def decompose(at: np.ndarray, v: np.ndarray, group: np.ndarray, usable: np.ndarray, period: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rest, between): the residuals of a robust seasonal-trend decomposition, and which lie between the levels beside.
+
+    The season is taken off first; then each reading's rest is its distance from the nearer of the levels before and
+    after it, so a lasting change of level leaves none.
+    """
+    plain = v - season(at, v, group, usable, period)
+    before, after = level_beside(at, plain, group, usable, -1), level_beside(at, plain, group, usable, 1)
+    low, high = np.fmin(before, after), np.fmax(before, after)
+    a, b = np.abs(plain - before), np.abs(plain - after)
+    rest = np.where(np.isnan(b) | (a <= b), plain - before, plain - after)
+    return rest, (plain >= low) & (plain <= high)
+
+
+def spike_flags(at: np.ndarray, v: np.ndarray, group: np.ndarray, scale: np.ndarray, usable: np.ndarray, again: np.ndarray, period: np.ndarray, ratio: float | None = RATIO) -> np.ndarray:
     """Which readings are spikes. at ascends within each group; scale is the source's usual variation.
 
-    The trend at a reading is the nearest point between the levels before and after it, so a lasting change of level
-    leaves no residual. Residuals beyond the ESD limits of their group and beyond `ratio` variations are outliers; they
-    leave the levels, and the decomposition is repeated. Outliers in more than two successive readings are no spikes.
+    Residuals beyond the ESD limits of their group are outliers, unless they lie between the levels beside them. They
+    leave the levels and the season, and the decomposition is repeated. Of the outliers those are spikes that depart by
+    more than `ratio` usual variations (None: all), alone or two in a row. `again` marks further values of a time: they
+    are judged like others, but levels and rows of outliers go by the first value of each time.
     """
     flags = np.zeros(len(v), bool)
+    series = usable & ~again
     with np.errstate(all="ignore"):
         for _ in range(ROUNDS):
-            good = usable & ~flags
-            before, after = level_beside(at, v, group, good, -1), level_beside(at, v, group, good, 1)
-            low, high = np.fmin(before, after), np.fmax(before, after)
-            rest = v - np.clip(v, low, high)
-            rest = rest - season(at, rest, group, scale, good, period_us)
-            size = np.where(usable, np.abs(rest) / scale, 0)
-            size = np.nan_to_num(size, nan=0.0, posinf=0.0)
+            rest, between = decompose(at, v, group, series & ~flags, period)
+            judged = usable & ~np.isnan(rest)
+            idx = np.flatnonzero(judged)
             new = np.zeros(len(v), bool)
-            cand = np.flatnonzero(size > 3)
-            for g in np.unique(group[cand]):
-                own = cand[group[cand] == g] if len(cand) < 2000 else cand[np.searchsorted(group[cand], g) : np.searchsorted(group[cand], g, "right")]
-                n = int(np.searchsorted(group, g, "right") - np.searchsorted(group, g))
-                order = own[np.argsort(-size[own], kind="stable")]
-                beyond = np.flatnonzero(size[order] > esd_limits(n, len(order)))
-                if len(beyond):
-                    new[order[: beyond[-1] + 1]] = True
-            new &= size > ratio
+            cut = np.flatnonzero(np.r_[True, group[idx][1:] != group[idx][:-1]]) if len(idx) else []
+            for a, b in zip(cut, np.append(cut, len(idx))[1:]):
+                own = idx[a:b]
+                new[own] = esd_outliers(rest[own])
+            new &= ~between
+            if ratio is not None:
+                size = np.abs(rest) / scale
+                new &= np.nan_to_num(size, nan=0.0, posinf=0.0) > ratio
             if (new == flags).all():
                 break
             flags = new
-    idx = np.flatnonzero(usable)
+    idx = np.flatnonzero(series)
     f = flags[idx]
     cut = np.flatnonzero(np.r_[True, (f[1:] != f[:-1]) | (group[idx][1:] != group[idx][:-1])]) if len(idx) else np.zeros(0, int)
     length = np.diff(np.append(cut, len(idx)))
@@ -131,7 +182,7 @@ OUT = "signal string, device_id string, slice long, kind int, value double, leng
 FLAGGED, FIRST, LAST, WHOLE = 0, 1, 2, 3
 
 
-def _judge(batches: Iterator[pa.RecordBatch], ranges: Mapping[str, tuple[float, float]], period_us: int) -> Iterator[pa.RecordBatch]:
+def _judge(batches: Iterator[pa.RecordBatch], ranges: Mapping[str, tuple[float, float]], ratio: float | None) -> Iterator[pa.RecordBatch]:
     for table, starts in whole_groups(batches, ["signal", "device_id", "slice"]):
         at, v = table.column("at_us").to_numpy(), table.column("value").to_numpy()
         own, scale = table.column("own").to_numpy(), table.column("scale").to_numpy()
@@ -142,7 +193,7 @@ def _judge(batches: Iterator[pa.RecordBatch], ranges: Mapping[str, tuple[float,
         lo, hi = (np.array([ranges[s][k] for s in signal.take(pa.array(starts)).to_pylist()])[group] for k in (0, 1))
         inside = (v >= lo) & (v <= hi)
         again = np.r_[False, (at[1:] == at[:-1]) & (group[1:] == group[:-1])]  # another value at the same time
-        flags = spike_flags(at, v, group, scale, inside & ~again, period_us)
+        flags = spike_flags(at, v, group, scale, inside, again, table.column("period").to_numpy(), ratio)
         rows = [(i, FLAGGED, v[i], 1, [at[i]]) for i in np.flatnonzero(flags & own)]
         # runs, over own readings; the halo belongs to other slices
         mine = np.flatnonzero(own & ~again)
@@ -166,24 +217,38 @@ def _judge(batches: Iterator[pa.RecordBatch], ranges: Mapping[str, tuple[float,
             )
 
 
-def usual_variation(series: DataFrame) -> DataFrame:
-    """signal, device_id and scale: the noise of each source, from the median change between neighbouring readings.
+def source_behaviour(series: DataFrame, periods: Sequence[int] = PERIODS) -> DataFrame:
+    """signal, device_id, scale and period: each source's usual variation, and the period (us; 0: none) it repeats itself in.
 
-    Equal neighbours are left out, so stuck sensors don't look quiet; neighbours within a slice and 15 s count. The
-    median comes from a mergeable sketch, combined before the shuffle.
+    The scale comes from the median change between neighbouring readings of a slice, by a mergeable sketch; equal
+    neighbours are left out, so stuck sensors don't look quiet. The period is that of `periods` (s) in which the directions
+    of change have the greatest power, if that is beyond three times what it is without any period; the power of each
+    slice is added up over the source. Both are combined before the shuffle.
     """
     w = Window.partitionBy("signal", "device_id", "slice").orderBy("at_us", "value")
-    d = series.where("own").select("signal", "device_id", F.abs(F.col("value") - F.lag("value").over(w)).alias("d"), (F.col("at_us") - F.lag("at_us").over(w)).alias("dt"))
-    return d.where("d > 0 and dt > 0 and dt <= 15000000").groupBy("signal", "device_id").agg((F.percentile_approx("d", 0.5, 1000) / MEDIAN_DIFFERENCE).alias("scale"))
+    d = series.where("own").select("signal", "device_id", "slice", "at_us", (F.col("value") - F.lag("value").over(w)).alias("d"), (F.col("at_us") - F.lag("at_us").over(w)).alias("dt"))
+    d = d.where("d <> 0 and dt > 0").withColumn("_t", (F.col("at_us") - F.col("dt") / 2) / 1_000_000)
+    sums = []
+    for p in periods:
+        angle = F.col("_t") * (2 * math.pi / p)
+        sums += [F.sum(F.signum("d") * F.cos(angle)).alias(f"c{p}"), F.sum(F.signum("d") * F.sin(angle)).alias(f"s{p}")]
+    slices = d.groupBy("signal", "device_id", "slice").agg(F.count(F.lit(1)).alias("n"), *sums)
+    power = [F.struct((F.sum(F.col(f"c{p}") ** 2 + F.col(f"s{p}") ** 2) / F.sum("n")).alias("power"), F.lit(p * 1_000_000).cast("long").alias("period")) for p in periods]
+    by_source = slices.groupBy("signal", "device_id").agg(F.array_max(F.array(*power)).alias("best"))
+    scale = d.groupBy("signal", "device_id").agg((F.percentile_approx(F.abs("d"), 0.5, 1000) / MEDIAN_DIFFERENCE).alias("scale"))
+    period = F.when(F.col("best.power") > 3, F.col("best.period")).otherwise(F.lit(0).cast("long"))
+    return scale.join(by_source.select("signal", "device_id", period.alias("period")), ["signal", "device_id"])
 
 
-def implausible(rows: DataFrame, ranges: Mapping[str, tuple[float, float]] = RANGES, slice_us: int = SLICE_US, period_us: int = PERIOD_US) -> DataFrame:
+def implausible(rows: DataFrame, ranges: Mapping[str, tuple[float, float]] = RANGES, slice_us: int = SLICE_US, ratio: float | None = RATIO) -> DataFrame:
     """signal and row_id of implausible readings. `rows`: signal, row_id, device_id, at_us, value.
 
     Cases: values outside the signal's range (infinite ones too); all rows of STUCK or more successive distinct times
-    with the same value; spikes (see spike_flags). Rows with null device, time or value, or NaN, don't count. Rows that
-    repeat a time and value are judged alike, however many they are; of several values at one time the least makes the
-    series. A source without two differing readings has no usual variation and no spikes. Empty tables give no rows.
+    with the same value; spikes (see spike_flags), with ratio None all outliers of the test. Rows with null device, time
+    or value, or NaN, don't count. Rows that repeat a time and value are judged alike, however many they are; of several
+    values at one time the least makes the series, and each is judged. A source without two differing readings has no
+    usual variation and no spikes beyond `ratio` of it; one sampled less often than every NEAR_US has nothing shortly
+    before and after, so no spikes. Empty tables give no rows.
 
     Copies are combined before the shuffle; a source is worked on in slices of time with the readings around them, and
     runs across slices are put together from the first and last run of each slice.
@@ -192,9 +257,9 @@ def implausible(rows: DataFrame, ranges: Mapping[str, tuple[float, float]] = RAN
     ok = rows.where("signal is not null and device_id is not null and at_us is not null and value is not null and not isnan(value)")
     series = sliced(ok.groupBy("signal", "device_id", "at_us", "value").agg(F.count(F.lit(1)).alias("copies")).drop("copies"), "at_us", slice_us, NEAR_US * (ROUNDS + 1))
     series = series.repartition("signal", "device_id", "slice")
-    scaled = series.join(usual_variation(series), ["signal", "device_id"], "left").withColumn("scale", F.coalesce("scale", F.lit(float("inf"))))
-    parts = scaled.select("signal", "device_id", "slice", "at_us", "value", "own", "scale").repartition("signal", "device_id", "slice").sortWithinPartitions("signal", "device_id", "slice", "at_us", "value")
-    judged = parts.mapInArrow(lambda b: _judge(b, ranges, period_us), OUT)
+    scaled = series.join(source_behaviour(series), ["signal", "device_id"], "left").withColumns({"scale": F.coalesce("scale", F.lit(float("inf"))), "period": F.coalesce("period", F.lit(0).cast("long"))})
+    parts = scaled.select("signal", "device_id", "slice", "at_us", "value", "own", "scale", "period").repartition("signal", "device_id", "slice").sortWithinPartitions("signal", "device_id", "slice", "at_us", "value")
+    judged = parts.mapInArrow(lambda b: _judge(b, ranges, ratio), OUT)
 
     # Border runs of a device in order; FLAGGED rows get a window group of their own.
     loose = F.when(F.col("kind") == FLAGGED, F.xxhash64("slice", "times")).otherwise(F.lit(None))

@@ -95,12 +95,29 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return grid.filled_slots(load(spark, d, "unpacked_ppg"))
 
 
+def p5_grid(spark: SparkSession, d: str) -> DataFrame:
+    """The whole five-second series with imputed values."""
+    return grid.regular_grid(grid.ppg_readings(load(spark, d, "unpacked_ppg")), "device_id", "at_us", "green")
+
+
+def p5_real_slots(spark: SparkSession, d: str) -> DataFrame:
+    """The slots of the series that hold readings, with their means."""
+    return p5_grid(spark, d).where("not filled").select("device_id", "slot_start_us", F.round("value", 4).alias("value"))
+
+
+def p5_held_out(spark: SparkSession, d: str) -> DataFrame:
+    """By device: how far imputed values are from those of slots held out, and how far a straight line is."""
+    x = grid.held_out(grid.ppg_readings(load(spark, d, "unpacked_ppg")), "device_id", "at_us", "green")
+    off = lambda c: F.avg(F.abs(F.col(c) - F.col("true")))
+    return x.where("line is not null").groupBy("device_id").agg(F.count(F.lit(1)).alias("slots"), off("imputed").alias("error"), off("line").alias("line_error"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return spikes.implausible(spikes.sensor_rows(load(spark, d, "unpacked_imu"), load(spark, d, "unpacked_eda")))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_periods, p1_stream_periods, p2_found, p2_processed, p2_ledger, p3_found, p4_found, p4_stream, p5_found, p6_found)}
+    return {f.__name__: f for f in (p1_found, p1_periods, p1_stream_periods, p2_found, p2_processed, p2_ledger, p3_found, p4_found, p4_stream, p5_found, p5_grid, p5_real_slots, p5_held_out, p6_found)}
 
 
 EFFECTIVE = """
@@ -163,6 +180,8 @@ def oracle_sql() -> dict[str, str]:
               where data_point_metadata.device_id is not null and measurement_timestamp_utc is not null and green is not null and not isnan(green)),
             pairs as (select device_id, t, lag(t) over (partition by device_id order by t) as before from usable)
             select device_id, unnest(range(before // 5000000 + 1, t // 5000000)) * 5000 as slot_start_ms from pairs where t - before <= 120000000""",
+        "p5_real_slots": """select data_point_metadata.device_id as device_id, epoch_us(measurement_timestamp_utc) // 5000000 * 5000000 as slot_start_us, round(avg(green), 4) as value from unpacked_ppg
+            where data_point_metadata.device_id is not null and measurement_timestamp_utc is not null and green is not null and not isnan(green) group by 1, 2""",
         "p4_found": f"""with intervals as (
               select annotation_metadata.device_id as device_id, annotation_label, epoch_us(start_timestamp_utc) as start_us, epoch_us(end_timestamp_utc) as end_us
               from annotation where annotation_metadata.device_id is not null and annotation_label is not null and end_timestamp_utc > start_timestamp_utc),

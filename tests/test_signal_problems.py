@@ -41,16 +41,20 @@ def test_ssa_beats_a_straight_line():
     gap = np.r_[40:52, 130:140, 200:215]
     x[gap] = np.nan
     line = np.interp(t, t[~np.isnan(x)], x[~np.isnan(x)])
-    got = grid.ssa_impute(x)
+    got, converged = grid.ssa_impute(x)
+    assert converged
     assert np.abs(got - true)[gap].mean() < 0.2 * np.abs(line - true)[gap].mean()
     assert (got[~np.isnan(x)] == x[~np.isnan(x)]).all()
 
 
 def test_ssa_small_series():
     for x in ([], [np.nan], [1.0, np.nan, 3.0], [2.0] * 5 + [np.nan] * 3 + [2.0] * 9):
-        out = grid.ssa_impute(np.array(x, float))
-        assert len(out) == len(x)
-    assert grid.ssa_impute(np.array([1.0, np.nan, 3.0])).tolist() == [1, 2, 3]
+        out, converged = grid.ssa_impute(np.array(x, float))
+        assert len(out) == len(x) and converged
+    assert grid.ssa_impute(np.array([1.0, np.nan, 3.0]))[0].tolist() == [1, 2, 3]
+    rough = np.random.default_rng(0).normal(0, 1, 60)
+    rough[::3] = np.nan
+    assert not grid.ssa_impute(rough, rounds=1)[1]
 
 
 def test_grid_empty(spark):
@@ -115,11 +119,67 @@ def test_esd_limits():
     assert np.allclose(spikes.esd_limits(54, 3), [3.158, 3.151, 3.143], atol=0.02)
 
 
+def test_esd_takes_the_scale_again_after_each_removal():
+    rng = np.random.default_rng(4)
+    rest = rng.normal(0, 1, 400)
+    rest[:60] = np.where(np.arange(60) % 2, 9.0, -7.0)  # many outliers, that would hide each other from a plain deviation
+    assert set(np.flatnonzero(spikes.esd_outliers(rest))) >= set(range(60))
+    assert spikes.esd_outliers(rest).sum() <= 62 and spikes.esd_outliers(rest[60:]).sum() <= 2
+    assert spikes.esd_outliers(np.zeros(9)).sum() == 0 and spikes.esd_outliers(np.array([1.0, 2.0])).sum() == 0
+    assert spikes.esd_outliers(np.r_[np.zeros(9), 5.0]).tolist() == [False] * 9 + [True]
+
+
 def test_season_is_removed_only_where_it_stands_out():
     t = np.arange(2000) * S
     phase = (t % (60 * S)) * 12 // (60 * S)
     rng = np.random.default_rng(0)
-    group, usable = np.zeros(2000, int), np.ones(2000, bool)
-    quiet = spikes.season(t, rng.normal(0, 1, 2000), group, np.ones(2000), usable, 60 * S)
-    strong = spikes.season(t, np.where(phase < 6, 5.0, -5.0) + rng.normal(0, 1, 2000), group, np.ones(2000), usable, 60 * S)
-    assert (quiet == 0).all() and np.abs(np.abs(strong) - 5).max() < 1
+    group, usable, minute = np.zeros(2000, int), np.ones(2000, bool), np.full(2000, 60 * S)
+    pattern = np.where(phase < 6, 5.0, -5.0)
+    assert (spikes.season(t, rng.normal(0, 1, 2000), group, usable, minute) == 0).all()
+    strong = spikes.season(t, pattern + rng.normal(0, 1, 2000), group, usable, minute)
+    assert np.abs(strong - pattern)[(phase % 6 > 0) & (phase % 6 < 5)].max() < 1
+    assert (spikes.season(t, pattern, group, usable, minute * 0) == 0).all()
+
+
+def small_spikes():
+    """A series with a cycle of a minute and spikes of eight variations, which the rule of ten leaves to the test."""
+    rng = np.random.default_rng(7)
+    at = np.cumsum(rng.integers(700, 1300, 4000)) * 1000
+    v = rng.normal(0, 20, 4000) + 150 * np.sin(2 * np.pi * at / (60 * S))
+    bad = np.arange(50, 4000, 150)
+    v[bad] += 160
+    return at, v, set(bad.tolist())
+
+
+def test_esd_and_season_decide(monkeypatch):
+    at, v, bad = small_spikes()
+    n = len(v)
+    flags = lambda period, ratio=None: set(np.flatnonzero(spikes.spike_flags(at, v, np.zeros(n, int), np.full(n, 20.0), np.ones(n, bool), np.zeros(n, bool), np.full(n, period), ratio)).tolist())
+    found = flags(60 * S)
+    assert len(found & bad) >= 0.95 * len(bad) and len(found - bad) <= 16
+    assert len(flags(0) & bad) < 0.8 * len(found & bad)  # without the season
+    assert flags(60 * S, 10.0) == set()
+    monkeypatch.setattr(spikes, "esd_outliers", lambda rest: np.ones(len(rest), bool))
+    assert len(flags(60 * S) - bad) > 100  # without the test
+
+
+def test_the_period_is_found_by_source(spark):
+    at, v, bad = small_spikes()
+    rng = np.random.default_rng(1)
+    flat = np.cumsum(rng.normal(0, 5, 4000)) + rng.normal(0, 20, 4000)
+    rows = [("imu", i, d, int(t), float(x)) for d, xs in (("cycle", v), ("flat", flat)) for i, (t, x) in enumerate(zip(at, xs))]
+    df = spark.createDataFrame(rows, "signal string, row_id long, device_id string, at_us long, value double")
+    own = df.selectExpr("*", f"at_us div {spikes.SLICE_US} as slice", "true as own")
+    assert {r.device_id: r.period for r in spikes.source_behaviour(own).collect()} == {"cycle": 60 * S, "flat": 0}
+    got = {r.row_id for r in spikes.implausible(df.where("device_id = 'cycle'"), ratio=None).collect()}
+    assert len(got & bad) >= 0.9 * len(bad)
+
+
+def test_slow_sources_and_other_values_of_a_time(spark):
+    rng = np.random.default_rng(3)
+    rows = [("eda", i, "slow", i * 100 * S, float(x)) for i, x in enumerate(np.round(1000 + rng.normal(0, 10, 200)))]
+    rows[60] = (*rows[60][:4], 3000.0)  # a source with a reading every 100 s
+    rows += [("eda", 1000 + i, "quick", i * S, float(x)) for i, x in enumerate(np.round(1000 + rng.normal(0, 10, 300)))]
+    rows += [("eda", 5000, "quick", 150 * S, 4000.0)]  # beside a normal reading of the same time
+    got = {r.row_id for r in spikes.implausible(spark.createDataFrame(rows, "signal string, row_id long, device_id string, at_us long, value double")).collect()}
+    assert got == {60, 5000}

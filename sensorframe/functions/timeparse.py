@@ -28,21 +28,29 @@ LEAST_NS, MOST_NS = 1_420_070_400 * 10**9, 1_924_992_000 * 10**9  # 2015-01-01 a
 
 def number_ns(text: Column) -> Column:
     """Whole numbers as s, ms, us or ns by the date they give; decimal numbers as seconds; else null."""
-    whole = F.when(text.rlike(r"^[+-]?\d{1,19}$"), text.cast("decimal(38,0)"))
-    out = F.lit(None).cast("decimal(38,0)")
+    n = F.when(text.rlike(r"^[+-]?\d{1,19}$"), text.try_cast("long"))
+    out = F.when(F.lit(False), F.lit(0).cast("long"))
     for scale in (1, 10**3, 10**6, 10**9):
-        ns = whole * F.lit(scale).cast("decimal(10,0)")
-        out = F.coalesce(out, F.when((ns >= LEAST_NS) & (ns < MOST_NS), ns).cast("decimal(38,0)"))
-    decimal = F.when(text.rlike(r"^[+-]?\d{1,10}\.\d+$"), F.substring_index(text, ".", 1).cast("decimal(38,0)") * F.lit(10**9).cast("decimal(10,0)") + F.when(text.startswith("-"), -1).otherwise(1) * F.rpad(F.substring(F.substring_index(text, ".", -1), 1, 9), 9, "0").cast("decimal(38,0)"))
-    return F.when(F.coalesce(out, decimal).between(-(2**63) + 1, 2**63 - 1), F.coalesce(out, decimal)).cast("long")
+        out = out.when(n.between(-(-LEAST_NS // scale), (MOST_NS - 1) // scale), n * F.lit(scale).cast("long"))
+    seconds = F.when(text.rlike(r"^[+-]?\d{1,10}\.\d+$"), F.substring_index(text, ".", 1).try_cast("long"))
+    fraction = F.rpad(F.substring(F.substring_index(text, ".", -1), 1, 9), 9, "0").try_cast("long")
+    decimal = F.when(seconds.between(-9_223_372_035, 9_223_372_035), seconds * F.lit(10**9).cast("long") + F.when(text.startswith("-"), -1).otherwise(1) * fraction)
+    return F.coalesce(out, decimal)
 
 
-def split_fields(text: Column) -> Column:
-    """The eleven fields of a date text as an array, null if it has none of the known forms."""
-    out = F.lit(None).cast("string")
-    for pattern, to in FORMS:
-        out = F.coalesce(out, F.when(text.rlike(pattern), F.regexp_replace(text, pattern, to)))
-    return F.split(out, r"\|", -1)
+def rewritten(text: Column) -> Column:
+    """A date text as its eleven fields parted by bars. Its beginning tells the one form it may have, so one pattern is
+    tried on each; a text that hasn't this form stays as it is."""
+    begins = (r"^\d{4}[-/.]", r"^\d{8}[Tt\s]", r"^\d{1,2}[-/.]\d", r"^(?:[A-Za-z]{3,9}\.?,?\s+)?\d{1,2}[-\s/.]+[A-Za-z]", r"^[A-Za-z]")
+    out = F.when(text.contains("|"), F.lit(None).cast("string"))
+    for begin, (pattern, to) in zip(begins, FORMS):
+        out = out.when(text.rlike(begin), F.regexp_replace(text, pattern, to))
+    return out
+
+
+def fields_of(line: Column) -> Column:
+    """The eleven fields of what `rewritten` gives as an array, null if it has none of the known forms."""
+    return F.when(line.startswith("d|") | line.startswith("n|"), F.split(line, r"\|", -1))
 
 
 def days_since_epoch(y: Column, m: Column, d: Column) -> Column:
@@ -81,11 +89,13 @@ def normalize_times(df: DataFrame, text: str, origin: str, device: str, data_sou
     """
     spark = df.sparkSession
     zones = zone_table(spark)
-    t = F.regexp_replace(F.col(text), r"(?U)^[\s ﻿]+|[\s ﻿]+$", "")
-    parsed = df.withColumn("_t", t).withColumns({"_number": number_ns(F.col("_t")), "_f": split_fields(F.col("_t"))})
-    parsed = parsed.select("*", *[F.get("_f", F.lit(i)).alias(f"_{f}") for i, f in enumerate(FIELDS)])
-    orders = origin_orders(parsed.select(F.col(origin).alias("_origin"), F.col("_style").alias("style"), F.col("_month").alias("month"), F.col("_day").alias("day")), "_origin")
+    bare = df.withColumn("_t", F.regexp_replace(F.col(text), r"(?U)^[\s ﻿]+|[\s ﻿]+$", ""))
+    parsed = bare.withColumns({"_number": number_ns(F.col("_t")), "_line": rewritten(F.col("_t"))}).withColumn("_f", fields_of(F.col("_line")))
+    parsed = parsed.select("*", *[F.get("_f", F.lit(i)).alias(f"_{f}") for i, f in enumerate(FIELDS)]).drop("_line", "_f")
+    numeric = bare.where(F.col("_t").rlike(r"^\d{1,2}[-/.]\d{1,2}[-/.]\d")).select(F.col(origin).alias("_origin"), fields_of(F.regexp_replace("_t", *FORMS[2])).alias("f"))
+    orders = origin_orders(numeric.select("_origin", F.get("f", F.lit(0)).alias("style"), F.get("f", F.lit(2)).alias("month"), F.get("f", F.lit(3)).alias("day")), "_origin")
     own = device_zones(data_source, zones).withColumnsRenamed({"device_id": "_device", "device_zone": "_device_zone"})
+    own = own.withColumn("_device_fixed", F.coalesce(fixed_offset(F.upper("_device_zone")), abbreviation_offset(F.col("_device_zone"))))
     parsed = parsed.join(orders, parsed[origin].eqNullSafe(orders["_origin"]), "left").join(own, parsed[device] == own["_device"], "left")
 
     swap = (F.col("_style") == "n") & F.coalesce("_day_first", F.lit(False))
@@ -104,8 +114,8 @@ def normalize_times(df: DataFrame, text: str, origin: str, device: str, data_sou
     zone = F.when(F.length("_zone") > 0, F.col("_zone"))
     unzoned = (F.length("_offset") == 0) & zone.isNull()
     use = F.when(unzoned, F.coalesce("_device_zone", F.lit("UTC"))).when(F.length("_offset") == 0, zone)
-    parsed = parsed.withColumns({"_wall": F.when(sane, wall).cast("long"), "_said": said, "_use": use})
-    parsed = parsed.withColumn("_fixed", F.coalesce("_said", fixed_offset(F.upper("_use")), abbreviation_offset(F.col("_use"))))
+    fixed = F.coalesce(said, F.when(unzoned, F.when(F.col("_device_zone").isNull(), 0).otherwise(F.col("_device_fixed"))).otherwise(F.coalesce(fixed_offset(F.upper(zone)), abbreviation_offset(zone))))
+    parsed = parsed.withColumns({"_wall": F.when(sane, wall).cast("long"), "_fixed": fixed, "_use": use})
     year_key = F.when(F.col("_fixed").isNull(), F.greatest(F.lit(FIRST_YEAR), F.least(F.lit(LAST_YEAR), F.col("_y"))))
     z = zones.select(F.col("zone").alias("_z"), F.col("year").alias("_zy"), F.col("spans").alias("_spans"))
     out = parsed.withColumn("_yk", year_key).join(F.broadcast(z), (F.col("_use") == F.col("_z")) & (F.col("_yk") == F.col("_zy")), "left")

@@ -17,7 +17,7 @@ ABBREVIATIONS = {
     "UTC": 0, "UT": 0, "GMT": 0, "Z": 0, "WET": 0, "WEST": 1, "BST": 1, "IST": 1, "CET": 1, "CEST": 2, "MEZ": 1, "MESZ": 2, "EET": 2, "EEST": 3, "MSK": 3,
     "JST": 9, "EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7, "AKST": -9, "AKDT": -8, "HST": -10,
 }
-FIXED = "[+-](?:0?[0-9]|1[0-8])(?::?[0-5][0-9])?"  # an offset of at most 18 hours
+FIXED = r"^(?:(?:UTC|GMT|UT)\s*)?([+-])(0?[0-9]|1[0-8])(?::?([0-5][0-9]))?\z"  # an offset of at most 18 hours
 
 
 @lru_cache(maxsize=1)
@@ -82,13 +82,10 @@ def wall_kind(wall_s: Column, spans: Column) -> Column:
 
 def fixed_offset(text: Column) -> Column:
     """Seconds of an offset text such as +05:30, -0800, GMT+2 or -03; null if it is none."""
-    clean = F.regexp_replace(text, r"^(?:UTC|GMT|UT)\s*(?=[+-])", "")
-    sign = F.when(F.substring(clean, 1, 1) == "-", -1).otherwise(1)
-    digits = F.regexp_replace(F.substring(F.regexp_replace(clean, "[^0-9]", ""), 1, 4), "^$", "0")
-    n = F.length(digits)
-    hours = F.when(n <= 2, digits.cast("int")).when(n == 3, F.substring(digits, 1, 1).cast("int")).otherwise(F.substring(digits, 1, 2).cast("int"))
-    minutes = F.when(n <= 2, F.lit(0)).when(n == 3, F.substring(digits, 2, 2).cast("int")).otherwise(F.substring(digits, 3, 2).cast("int"))
-    return F.when(clean.rlike(f"^{FIXED}\\z"), sign * (hours * 3600 + minutes * 60))
+    none = F.lit(None).cast("int")
+    sign = F.when(F.regexp_extract(text, FIXED, 1) == "-", -1).otherwise(1)
+    part = lambda i: F.coalesce(F.regexp_extract(text, FIXED, i).try_cast("int"), F.lit(0))
+    return F.when(text.rlike(FIXED), sign * (part(2) * 3600 + part(3) * 60)).otherwise(none)
 
 
 def abbreviation_offset(text: Column) -> Column:

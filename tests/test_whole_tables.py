@@ -93,7 +93,7 @@ def test_bounds(spark):
 
 def naive(series, low, high):
     """Spike and run times of one device's [(time, value)], by loops over the whole series."""
-    diffs = [abs(b[1] - a[1]) for a, b in zip(series, series[1:]) if b[1] != a[1] and b[0] - a[0] <= 15_000_000]
+    diffs = [abs(b[1] - a[1]) for a, b in zip(series, series[1:]) if b[1] != a[1]]
     scale = statistics.median_low(diffs) / (0.6744897501960817 * math.sqrt(2)) if diffs else math.inf
     inside = [i for i, (_, v) in enumerate(series) if low <= v <= high]
     flagged: set[int] = set()

@@ -64,28 +64,59 @@ def test_very_long_text(spark, monkeypatch):
     assert 9000 in found and 9001 not in found
 
 
-def test_counts_do_not_depend_on_pieces(spark, monkeypatch):
-    rows, _ = corpus(60, 3)
+@pytest.mark.parametrize("other", [("bb", 60, -12, 6), ("cc", 4000, -25, -15)])
+def test_thresholds_are_learned(other):
+    """A language with few texts, and one whose complete ends score as low as cut ones elsewhere."""
+    counts = {}
+
+    def add(lang, sample, ending, at, n):
+        for k in range(-3, 4):
+            counts[lang, sample, ending, int((at + k - C.LOW) / C.WIDTH)] = max(n * (4 - abs(k)) // 16, 1)
+
+    for lang, n, low, high in (("aa", 4000, -12, 6), other):
+        for sample, ending, at, m in (("line", "plain", high, n), ("cut", "plain", low, n), ("final", "plain", high, n), ("final", "plain", low, n // 20), ("line", "whole", high, n), ("final", "whole", high, n)):
+            add(lang, sample, ending, at, m)
+    limits = C.learn_limits(counts)
+    assert all(low < limits[lang, "plain"] < high for lang, _, low, high in (("aa", 0, -12, 6), other))
+    assert limits["aa", "whole"] < 0 and C.learn_limits({}) == {}
+
+
+def test_filter_leaves_out_no_wanted_context(spark):
+    rows, _ = corpus(40, 4)
     df = spark.createDataFrame(rows, SCHEMA)
-    a = C.fit_endings(df)
-    monkeypatch.setattr(C, "PIECE", 500)
-    b = C.fit_endings(df)
-    assert abs(a[0][0].sum() - b[0][0].sum()) == 0 and a[1][0].sum() == b[1][0].sum()
+    wanted = C.ending_scores(df).select("doc_id")  # runs with the filter
+    assert wanted.count() > 40
+    samples = spark.createDataFrame([(C.final_context(C.bare_end(r[1])),) for r in rows], "context string")
+    every = {r.key: (r.n, r.e, r.w) for r in C.count_contexts(df).collect()}
+    some = {r.key: (r.n, r.e, r.w) for r in C.count_contexts(df, samples).collect()}
+    keys = {c[0][7 - n :] for c in samples.collect() for n in range(1, 8)}
+    assert keys <= some.keys() and all(every[k] == v for k, v in some.items()) and len(some) < len(every) / 5
 
 
-def test_counts_are_those_of_the_contexts(spark):
-    import numpy as np
+def test_rare_characters_count_like_common_ones(monkeypatch):
+    from collections import Counter
 
-    rows, _ = corpus(30, 4)
-    times, ends = C.fit_endings(spark.createDataFrame(rows, SCHEMA))
-    n, e = np.zeros_like(times), np.zeros_like(ends)
-    for row in rows:
-        c, kind, _ = C._characters(C.bare_end(row[1]) + "\n")
-        at = np.array([i for i, x in enumerate(c.tolist()) if x not in (9, 10, 32, 160)])
-        for j, b in enumerate(C._buckets(c, kind, at)):
-            np.add.at(n[j], b, 1)
-            np.add.at(e[j], b[c[at + 1] == 10], 1)
-    assert (n == times).all() and (e == ends).all()
+    import pyarrow as pa
+
+    r = random.Random(3)
+    text = "".join(r.choice("abcdefgh \n古い駅\U0001f600") for _ in range(2000))
+
+    def counts():
+        total = Counter()
+        for b in C._count(iter([pa.RecordBatch.from_pydict({"text": [text]})])):
+            for k, *x in zip(*(c.to_pylist() for c in b.columns)):
+                for name, v in zip("new", x):
+                    total[k, name] += v
+        return total
+
+    every = counts()
+    monkeypatch.setattr(C, "COMMON", 5)
+    assert counts() == every
+
+
+def test_lines_that_end_something():
+    assert C.line_before("a b\n== c ==") == "a b" and C.line_before("a b\n[[Category:x]]") == "a b" and C.line_before("a b\n\nmore") == "a b"
+    assert C.line_before("a b\nmore words.") == "" and C.line_before("a") == "" and C.line_before("a b\n[[x]] more.") == ""
 
 
 @pytest.mark.parametrize(
@@ -105,7 +136,7 @@ def test_bare_end():
 
 
 def exact_odds(texts):
-    """Odds and line odds of each text, by plain counting of characters."""
+    """Odds of each text, by plain counting of characters."""
     import math
     import re
     from collections import Counter
@@ -137,31 +168,16 @@ def exact_odds(texts):
         return math.log(p) - math.log(q)
 
     bare = [C.bare_end(t) for t in texts]
-    return [(odds(t), odds(t[: max(t.rfind("\n"), 0)].rstrip())) for t in bare]
-
-
-def twins():
-    """Two words of seven letters that share a counter of the hashed model."""
-    import numpy as np
-
-    r, seen = random.Random(5), {}
-    while True:
-        w = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
-        c, kind, _ = C._characters("\n" * 8 + "a " + w)
-        b = [int(x[0]) for x in C._buckets(c, kind, np.array([len(c) - 1]))][-1]
-        if b in seen and seen[b][-3:] != w[-3:]:
-            return seen[b], w
-        seen[b] = w
+    return [odds(t) for t in bare]
 
 
 def test_odds_are_those_of_exact_counts(spark):
-    a, b = twins()
-    texts = [r[1] for r in corpus(40, 6)[0]] + [f"See {a} for it.", f"See {a} again.", f"See {a}"] + [f"See {b}\nSee {b}"] * 30
+    texts = [r[1] for r in corpus(40, 6)[0]] + ["See narrowly for it.", "See narrowly again.", "See narrowly"] + ["See brightly\nSee brightly"] * 30
     texts += ["1234567890123456789012345678901234567890\nabc", "x\r\n* y\r12\x0034", "a\x00\nb\x00", "\U0001f600 古い駅\n|cell 1", "| a\n\n\r= b =", "z"]
     df = spark.createDataFrame([(i, t, "en", "s", 0, "") for i, t in enumerate(texts)], SCHEMA)
-    got = {r.doc_id: (r.odds, r.line_odds) for r in C.ending_scores(df).collect()}
+    got = {r.doc_id: r.odds for r in C.ending_scores(df).where("sample = 'final'").collect()}
     for i, want in enumerate(exact_odds(texts)):
-        assert got[i] == pytest.approx(want, abs=1e-6), texts[i]
+        assert got[i] is None if want == float("inf") else got[i] == pytest.approx(want, abs=1e-6), texts[i]
 
 
 def test_long_texts_count_like_short_ones(monkeypatch):
@@ -174,7 +190,7 @@ def test_long_texts_count_like_short_ones(monkeypatch):
 
     def counts():
         total = Counter()
-        for b in C._count_exact(iter([pa.RecordBatch.from_pydict({"text": [text, None, "", "q"]})])):
+        for b in C._count(iter([pa.RecordBatch.from_pydict({"text": [text, None, "", "q"]})])):
             for k, n, e, w in zip(*(c.to_pylist() for c in b.columns)):
                 total[k, "n"] += n
                 total[k, "e"] += e
@@ -198,4 +214,4 @@ def test_list_items_of_one_shape_that_break_off(spark):
         assert C.ending_class(t) == "same"
         rows.append((i, t, "en", "limit", 0, ""))
     found = {r.doc_id for r in C.cut_documents(spark.createDataFrame(rows, SCHEMA)).collect() if r.doc_id >= 1000}
-    assert len(found & cut) > 0.9 * len(cut) and len(found - cut) < 4
+    assert len(found & cut) > 0.8 * len(cut) and len(found - cut) < 12

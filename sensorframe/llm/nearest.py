@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.groups import sliced, whole_groups
+from ..streaming.replay import replay, run_to_end
 
 SLICE_US = 3_600_000_000
 STEP = 64  # rows of a slice between two watermarks
@@ -47,11 +48,15 @@ class NearestBuffer:
         self.lt, self.li = self.lt[~ripe], self.li[~ripe]
         right = nearest(t, self.rt, self.ri, self.tolerance)
         if watermark is not None:
-            keep = self.rt >= min([watermark, *self.lt]) - self.tolerance
+            keep = self.rt >= min(watermark, self.earliest(watermark)) - self.tolerance
             self.rt, self.ri = self.rt[keep], self.ri[keep]
         found = right != NONE
         return ids[found], right[found]
 
+    def earliest(self, default: int) -> int:
+        """The time of the first row that waits."""
+        return int(self.lt.min()) if len(self.lt) else default
+
     def dump(self) -> bytes:
         return pickle.dumps((self.lt, self.li, self.rt, self.ri))
 
@@ -126,32 +131,55 @@ def sensor_side(samples: DataFrame) -> DataFrame:
     return samples.select(F.col("data_point_metadata.device_id").alias("key"), F.col("row_id").alias("id"), F.unix_micros("measurement_timestamp_utc").alias("at_us"))
 
 
-def stream_nearest(left: DataFrame, right: DataFrame, tolerance_us: int, lateness: str = "10 minutes") -> DataFrame:
-    """The same pairing over two streams with columns key (string), id and at (timestamp).
+def stream_nearest(left: DataFrame, right: DataFrame, tolerance_us: int, lateness: str = "10 minutes", slice_us: int = SLICE_US) -> DataFrame:
+    """The same pairing over two streams with columns key, id and at (timestamp)."""
+    tag = lambda df, side: df.select("key", "id", "at", F.lit(side).alias("is_right"))
+    return stream_pairs(tag(left, False).unionByName(tag(right, True)), tolerance_us, lateness, slice_us)
+
+
+def stream_pairs(both: DataFrame, tolerance_us: int, lateness: str = "10 minutes", slice_us: int = SLICE_US) -> DataFrame:
+    """left_id and right_id over a stream of both sides: key, id, at and is_right.
 
-    Each key's buffer is kept in state. A left row is emitted once the watermark has passed its horizon; a timer at the
-    earliest waiting horizon wakes keys that get no more rows.
+    Each (key, slice of time) keeps a buffer in state; right rows within the tolerance of a border go to both slices, so a
+    hot key is worked on by as many tasks as it has slices. A left row is emitted once the watermark has passed its
+    horizon; a timer at the earliest one wakes slices that get no more rows, and a slice leaves the state once no left row
+    waits and none can come. Rows behind the watermark are left out. Rows whose horizon the watermark never passes, as
+    the last ones of a stream, aren't emitted.
     """
-    tag = lambda df, side: df.where("key is not null and id is not null and at is not null").select("key", "id", "at", F.lit(side).alias("is_right"))
-    both = tag(left, False).unionByName(tag(right, True)).withWatermark("at", lateness)
+    ok = both.where("key is not null and id is not null and at is not null").select("key", "id", "at", "is_right").withWatermark("at", lateness)
+    at, s = F.unix_micros("at"), F.floor(F.unix_micros("at") / slice_us)
+    rest = at - s * slice_us
+    more = lambda hit, n: F.when(F.col("is_right") & hit, F.array(n)).otherwise(F.array().cast("array<bigint>"))
+    rows = ok.withColumn("slice", F.explode(F.concat(F.array(s), more(rest >= slice_us - tolerance_us, s + 1), more(rest <= tolerance_us, s - 1))))
 
     def step(key, frames, state):  # noqa: ANN001, ANN202
-        buffer = NearestBuffer(tolerance_us)
+        buffer, mark = NearestBuffer(tolerance_us), state.getCurrentWatermarkMs() * 1000
         if state.exists:
             buffer.restore(state.get[0])
         for f in frames:
-            at = f["at"].to_numpy().astype("datetime64[us]").astype(np.int64)
-            r = f["is_right"].to_numpy().astype(bool)
-            buffer.add_left(at[~r], f["id"].to_numpy()[~r])
-            buffer.add_right(at[r], f["id"].to_numpy()[r])
-        mark = state.getCurrentWatermarkMs() * 1000
+            t = f["at"].to_numpy().astype("datetime64[us]").astype(np.int64)
+            r, ids = f["is_right"].to_numpy().astype(bool), f["id"].to_numpy()
+            fresh = t >= mark
+            buffer.add_left(t[~r & fresh], ids[~r & fresh])
+            buffer.add_right(t[r & fresh], ids[r & fresh])
         i, j = buffer.advance(mark)
-        if len(buffer.lt) or len(buffer.rt):
+        end = (int(key[1]) + 1) * slice_us  # no left row of the slice is later
+        if len(buffer.lt) or (mark < end and len(buffer.rt)):
             state.update((buffer.dump(),))
-            horizon = int(min([*buffer.lt, *buffer.rt])) + tolerance_us
+            horizon = buffer.earliest(end) + tolerance_us
             state.setTimeoutTimestamp(max(horizon // 1000 + 1, mark // 1000 + 1))
         elif state.exists:
             state.remove()
         yield pd.DataFrame({"left_id": i, "right_id": j})
 
-    return both.groupBy("key").applyInPandasWithState(step, "left_id long, right_id long", "state binary", "append", "EventTimeTimeout")
+    return rows.groupBy("key", "slice").applyInPandasWithState(step, "left_id long, right_id long", "state binary", "append", "EventTimeTimeout")
+
+
+def replay_nearest(left: DataFrame, right: DataFrame, tolerance_us: int, steps: int = 4) -> DataFrame:
+    """join_nearest by stream_pairs over both tables (key, id, at_us) replayed in order of time. A row of no entity a day
+    after all others lets the watermark pass the last horizons."""
+    tag = lambda df, side: df.select("key", "id", F.timestamp_micros("at_us").alias("at"), F.lit(side).alias("is_right"))
+    both = tag(left, False).unionByName(tag(right, True)).where("key is not null and id is not null and at is not null")
+    last = both.agg(F.max("at").alias("at")).where("at is not null")
+    end = last.select(F.lit("").cast(both.schema["key"].dataType).alias("key"), F.lit(-1).cast("long").alias("id"), (F.col("at") + F.expr("interval 1 day")).alias("at"), F.lit(True).alias("is_right"))
+    return run_to_end(stream_pairs(replay(both.unionByName(end), F.col("at"), steps), tolerance_us), "nearest").drop("batch")

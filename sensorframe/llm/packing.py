@@ -36,15 +36,14 @@ def best_pattern(worth: np.ndarray, capacity: int, few: int) -> tuple[np.ndarray
     """
     sizes = np.flatnonzero(np.isfinite(worth[1:])) + 1
     value = np.full((few + 1, capacity + 1), -np.inf)
-    took = np.zeros((few + 1, capacity + 1), np.int32)
+    took = np.zeros((few + 1, capacity + 1), np.int64)
     value[0, 0] = 0
-    for k in range(1, few + 1):
-        for s in sizes:
-            with np.errstate(invalid="ignore"):
-                new = value[k - 1, : capacity + 1 - s] + worth[s]
-            better = new > value[k, s:]
-            value[k, s:][better] = new[better]
-            took[k, s:][better] = s
+    before = np.arange(capacity + 1)[None, :] - sizes[:, None]  # units filled before a document of each size
+    for k in range(1, few + 1 if len(sizes) else 1):
+        new = np.where(before >= 0, value[k - 1][np.maximum(before, 0)], -np.inf) + worth[sizes][:, None]
+        best_size = new.argmax(0)
+        value[k] = new[best_size, np.arange(capacity + 1)]
+        took[k] = np.where(np.isfinite(value[k]), sizes[best_size], 0)
     k = int(np.argmax(value[:, capacity]))
     pattern, at, best = np.zeros(capacity + 1), capacity, float(value[k, capacity])
     if not np.isfinite(best):

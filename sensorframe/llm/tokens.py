@@ -9,7 +9,9 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed value: the public pre-token pattern of the byte-level vocabularies.
@@ -29,16 +31,25 @@ def vocabulary_path(name: str = "byte_bpe_50k") -> str:
     return os.path.join(os.environ.get("SENSORFRAME_TOKENIZERS", FOLDER), f"{name}.tiktoken")
 
 
-def read_ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+def read_ranks(vocabulary: str | bytes) -> dict[bytes, int]:
+    """Tokens and their ids, from a vocabulary file's path or its contents."""
+    if isinstance(vocabulary, str):
+        with open(vocabulary, "rb") as f:
+            vocabulary = f.read()
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
 
 
-def encoder(path: str):  # noqa: ANN201
+def encoder(vocabulary: str | bytes):  # noqa: ANN201
     """The byte-pair encoder of a vocabulary file, without special tokens."""
     import tiktoken
 
-    return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=read_ranks(vocabulary), special_tokens={})
+
+
+def shipped(spark: SparkSession, path: str) -> Broadcast:
+    """The vocabulary file's contents (under 1 MB), read here and sent to the executors, which need no such file."""
+    with open(path, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +85,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from close()
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], vocabulary: Broadcast) -> Iterator[pa.RecordBatch]:
     """Rows come in order of word, so equal words are neighbours and each is encoded once. Documents pass through."""
     encode = None
     last: str | None = None
@@ -84,7 +95,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
         if words.null_count == b.num_rows:
             ids = pa.nulls(b.num_rows, pa.list_(pa.int32()))
         else:
-            encode = encode or encoder(path).encode_ordinary
+            encode = encode or encoder(vocabulary.value).encode_ordinary
             each = []
             for w in words.to_pylist():
                 if w is None:
@@ -141,7 +152,7 @@ def _join(batches: Iterator[pa.RecordBatch], lengths: bool) -> Iterator[pa.Recor
 def _coded(documents: DataFrame, path: str) -> DataFrame:
     routed = documents.select("doc_id", "text").mapInArrow(_split, ROUTED)
     routed = routed.withColumn("route", F.coalesce("route", F.xxhash64("word"))).repartition("route").sortWithinPartitions("word").drop("route")
-    coded = routed.mapInArrow(partial(_encode, path=path), CODED)
+    coded = routed.mapInArrow(partial(_encode, vocabulary=shipped(documents.sparkSession, path)), CODED)
     return coded.repartition("block").sortWithinPartitions("block", F.when(F.col("place") == DOCUMENT, 1).otherwise(0), "place")
 
 
@@ -166,19 +177,36 @@ def token_lengths(documents: DataFrame, path: str | None = None) -> DataFrame:
     return _coded(documents, path or vocabulary_path()).mapInArrow(partial(_join, lengths=True), "doc_id long, n_tokens long")
 
 
-def token_bytes(spark, path: str | None = None) -> DataFrame:  # noqa: ANN001
-    """id and bytes of each token: a vocabulary's 50,256 rows, whatever the corpus."""
-    return spark.createDataFrame([(i, bytearray(b)) for b, i in read_ranks(path or vocabulary_path()).items()], "id int, bytes binary")
+def token_table(vocabulary: bytes) -> pa.BinaryArray:
+    """The bytes of each token by its id; ids no token has are null."""
+    ranks = read_ranks(vocabulary)
+    out: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    for b, i in ranks.items():
+        out[i] = b
+    return pa.array(out, pa.large_binary())
+
+
+def _decode(batches: Iterator[pa.RecordBatch], vocabulary: Broadcast) -> Iterator[pa.RecordBatch]:
+    table = token_table(vocabulary.value)
+    for b in batches:
+        ids = b.column("ids").fill_null([]) if b.column("ids").null_count else b.column("ids")
+        parts = table.take(ids.flatten())
+        if parts.null_count:
+            raise ValueError("an id that no token has")
+        size = pc.binary_length(parts).to_numpy()
+        ends = np.concatenate([[0], np.cumsum(size)])
+        data, first = b"".join(parts.to_pylist()), np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())])
+        texts = [data[ends[x] : ends[y]].decode("utf-8", "replace") for x, y in zip(first[:-1], first[1:])]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
 
 def decode_ids(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id and text from doc_id and ids, by a join of the exploded ids with the token-byte table.
+    """doc_id and text from doc_id and ids, by a join of the ids with the token-byte table.
 
-    An empty or null list gives an empty text. doc_ids must be unique. Bytes that are no UTF-8, as half a character of a
-    cut list, become replacement characters.
+    The table has a row for each token of the vocabulary (50,256), whatever the corpus, so it goes to every task and each
+    batch's ids are looked up together; no text is shuffled. An empty or null list gives an empty text, repeated doc_ids
+    a row each. Bytes that are no UTF-8, as half a character of a cut list, become replacement characters; an id that no
+    token has is an error.
     """
-    tokens = F.broadcast(token_bytes(encoded.sparkSession, path))
-    parts = encoded.select("doc_id", F.posexplode("ids").alias("pos", "id")).join(tokens, "id")
-    whole = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "bytes"))).alias("x"))
-    texts = whole.select("doc_id", F.decode(F.aggregate("x", F.lit(b"").cast("binary"), lambda a, e: F.concat(a, e["bytes"])), "UTF-8").alias("text"))
-    return encoded.select("doc_id").join(texts, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sent = shipped(encoded.sparkSession, path or vocabulary_path())
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(partial(_decode, vocabulary=sent), "doc_id long, text string")

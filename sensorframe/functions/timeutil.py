@@ -76,7 +76,7 @@ def to_local(at: Column, zone: Column) -> Column:
 
 
 def shift_seconds(at: Column, seconds: Column) -> Column:
-    return F.timestamp_micros(F.unix_micros(at) + (seconds * 1_000_000).cast("long"))
+    return F.timestamp_micros(F.unix_micros(at) + seconds.cast("long") * 1_000_000)
 
 
 def date_in_zone(at: Column, zone: Column) -> Column:
@@ -99,7 +99,7 @@ def parse_warehouse(us: Column) -> Column:
 
 def parse_store(text: Column) -> Column:
     """A numeric text as milliseconds, another as a date text in UTC; null if neither. The session must be in UTC."""
-    return F.when(text.rlike(r"^\d+\z"), F.timestamp_millis(F.when(text.rlike(r"^\d{1,15}\z"), text.cast("long")))).otherwise(F.try_to_timestamp(F.regexp_replace(text, r"\s+UTC$", "Z")))
+    return F.when(text.rlike(r"^\d+\z"), F.timestamp_millis(F.when(text.rlike(r"^0*\d{1,15}\z"), text.cast("long")))).otherwise(F.try_to_timestamp(F.regexp_replace(text, r"\s+UTC$", "Z")))
 
 
 def millis(at: Column) -> Column:
@@ -166,3 +166,8 @@ def filter_time(column: Column, kind: str, earliest: str = "2010-01-01", latest:
 def job_label(text: Column) -> Column:
     """A text as a job label: lower case, at most 63 characters of a-z, 0-9, _ and -."""
     return F.substring(F.regexp_replace(F.lower(text), "[^a-z0-9_-]", "_"), 1, 63)
+
+
+def job_url(base: str, *parts: Column) -> Column:
+    """The address of a job's page: a console's base address and path parts, such as region and job id."""
+    return F.concat_ws("/", F.lit(base.rstrip("/")), *[F.url_encode(p) for p in parts])

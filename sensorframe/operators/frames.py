@@ -12,12 +12,17 @@ from pyspark.sql import types as T
 
 from .keys import Fixed, Sliding, annotation_time, key_by, key_local, key_time, measured
 
+META = "data_point_metadata"
 ENTITY = ["device_id", "participant_id", "participant_namespace"]
 WINDOW = ["start_time_range_micros", "end_time_range_micros"]
 
 
 class GroupedFrames:
-    """Rows with key columns, to be handed to user functions as one pandas frame a group, sorted by `order` if given."""
+    """Rows with key columns, to be handed to user functions as one pandas frame a group, sorted by `order` if given.
+
+    A frame's attrs hold its key columns by name, and as data_point_metadata what a data point derived from all its rows
+    has (see derived_attrs), if the rows have such a column (or several, with suffixes, after a merge).
+    """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: str | None = None):
         self.df, self.keys, self.order = df, list(keys), order
@@ -26,8 +31,17 @@ class GroupedFrames:
         return self.df.groupBy(*self.keys)
 
     def _sorted(self) -> Callable[[pd.DataFrame], pd.DataFrame]:
-        order = self.order
-        return (lambda f: f.sort_values(order, kind="stable", ignore_index=True)) if order else (lambda f: f)
+        order, keys = self.order, self.keys
+        metas = [c for c in self.df.columns if c == META or c.startswith(f"{META}_")]
+
+        def arranged(f: pd.DataFrame) -> pd.DataFrame:
+            f = f.sort_values(order, kind="stable", ignore_index=True) if order else f
+            f.attrs.update({k: _plain(f[k].iloc[0]) for k in keys if len(f)})
+            if metas and len(f):
+                f.attrs[META] = derived_attrs(f, metas, order)
+            return f
+
+        return arranged
 
     def apply(self, func: Callable, schema: str | T.StructType, **kwargs: object) -> DataFrame:
         """func(frame, **kwargs) for each group: None gives no rows, a frame its rows, a mapping one row, a list or tuple
@@ -57,6 +71,32 @@ class GroupedFrames:
         return self.apply(lambda f: getattr(cls(**dict(init_args or {})), method)(f), schema)
 
 
+def _plain(x: object) -> object:
+    return None if x is None or x is pd.NaT or (isinstance(x, float) and x != x) else x.item() if hasattr(x, "item") else x
+
+
+def derived_attrs(frame: pd.DataFrame, columns: Sequence[str] = (META,), at: str | None = None) -> dict:
+    """The metadata of a data point derived from all rows of a frame, as metadata.derived_metadata has it for groups.
+
+    The data source is the first row's by time and id; more than one device or participant is a ValueError.
+    """
+    rows = []
+    for c in columns:
+        for i, m in enumerate(frame[c]):
+            if m is not None and m is not pd.NaT and m == m:
+                m = m if isinstance(m, Mapping) else m.asDict(recursive=True)
+                rows.append((frame[at].iloc[i] if at in frame.columns else i, m))
+    one = lambda what, xs: (_ for _ in ()).throw(ValueError(f"several {what} in a group")) if len(xs) > 1 else next(iter(xs), None)
+    first = min(rows, key=lambda r: (r[0], r[1]["data_source_id"] is not None, r[1]["data_source_id"] or 0), default=(None, {}))[1]
+    who = one("participants", {(m["participant_id"], m["participant_namespace"]) for _, m in rows if m["participant_id"] is not None or m["participant_namespace"] is not None}) or (None, None)
+    written = [m["sensor_store_metadata"]["sensor_store_write_time"] for _, m in rows if m.get("sensor_store_metadata") and m["sensor_store_metadata"].get("sensor_store_write_time") is not None]
+    labels = sorted({x for _, m in rows for x in (m["annotation_labels"] if m["annotation_labels"] is not None else ()) if x is not None})
+    return {
+        "data_source_id": first.get("data_source_id"), "device_id": one("devices", {m["device_id"] for _, m in rows}), "participant_id": who[0], "participant_namespace": who[1],
+        "echo_metadata": None, "sensor_store_metadata": {"sensor_store_write_time": max(written)} if written else None, "annotation_labels": labels,
+    }
+
+
 def _rows(result: object, names: list[str]) -> pd.DataFrame:
     if result is None:
         return pd.DataFrame({n: pd.Series(dtype=object) for n in names})
@@ -119,14 +159,23 @@ def cogroup_apply(parts: Mapping[str, DataFrame], keys: Sequence[str], func: Cal
     return tagged.groupBy(*keys).applyInPandas(each, schema)
 
 
-def build_frames(source: DataFrame | Mapping[str, DataFrame], window: Fixed | Sliding | None = None, zone: Column | None = None, per_timestamp: bool = False, annotations: str | None = None, by_device: bool = True, by_participant: bool = True) -> GroupedFrames | dict[str, GroupedFrames]:
+def build_frames(source: DataFrame | Mapping[str, DataFrame], window: Fixed | Sliding | None = None, zone: Column | None = None, per_timestamp: bool = False, annotations: str | None = None, by_device: bool = True, by_participant: bool = True, combine: str | None = None) -> GroupedFrames | dict[str, GroupedFrames]:
     """Rows keyed by participant and device, and by window (in UTC, or by the wall clock of `zone`) or timestamp if asked.
 
     `annotations` ('start' or 'end') takes annotations, windowed by that time. A mapping of tables gives a mapping of
-    groups, for merge_frames and cogroup_apply. Anything else is a TypeError.
+    groups, for merge_frames and cogroup_apply; with `combine` it gives one group: 'concat' has the rows of all tables,
+    'merge' joins them on keys and times (columns of several get the suffix _tag). Anything else is a TypeError.
     """
+    if combine not in (None, "concat", "merge"):
+        raise ValueError("combine must be concat or merge")
     if isinstance(source, Mapping):
-        return {tag: build_frames(df, window, zone, per_timestamp, annotations, by_device, by_participant) for tag, df in source.items()}
+        parts = {tag: build_frames(df, window, zone, per_timestamp, annotations, by_device, by_participant) for tag, df in source.items()}
+        if combine is None or not parts:
+            return parts
+        first = next(iter(parts.values()))
+        times = ["start_timestamp_utc", "end_timestamp_utc"] if annotations else ["measurement_timestamp_utc"]
+        frames = {tag: g.df for tag, g in parts.items()}
+        return GroupedFrames(union_frames(list(frames.values())) if combine == "concat" else merge_frames(frames, first.keys, times), first.keys, first.order)
     if not isinstance(source, DataFrame):
         raise TypeError("frames are built from a DataFrame or a mapping of them")
     df = key_by(source, by_device, by_participant, annotations=annotations is not None)

@@ -26,7 +26,7 @@ MESSAGE_FIELDS = {"device_id": "device_id", "participant_id": "participant_id",
 #: Namespaces of participant ids.
 NAMESPACES = ("USER_ID_KEYSPACE_UNSPECIFIED", "GAIA_ID", "HASHED_STRING", "CSP_ID", "ANON_STUDY_DEVICE", "SENSOR_REGISTRY_CUSTOM", "DMI", "CSP_UUID", "FIREBASE", "CSP_INTERNAL_ID")
 #: Patterns of device ids by type of device.
-DEVICE_TYPES = {"COPPA": "C2Q.*", "TEST_DEVICE": "(?i).*test.*", "PICARD": r"PDV.*|com\.[a-z]+\.picard.*", "PEP": "pep.*", "RIALTO": "RLQ.*|QCI.*", "MODUS": "stepwatch.*"}
+DEVICE_TYPES = {"COPPA": "C2Q.*", "TEST_DEVICE": "(?i).*test.*", "PICARD": r"PDV.*|com\.{vendor}\.picard.*", "PEP": "pep.*", "RIALTO": "RLQ.*|QCI.*", "MODUS": "stepwatch.*"}
 
 
 class NotApplicable(ValueError):
@@ -238,12 +238,13 @@ class AnnotationAlgorithm(Condition):
 @_any_kind
 @dataclass(frozen=True)
 class DeviceType(Condition):
-    """Device ids that begin as the type's pattern says."""
+    """Device ids that begin as the type's pattern says; `vendor` is that of ids which name one (default: any)."""
 
     kind: str
+    vendor: str = "[a-z]+"
 
     def combine(self, kind: str, f: Mapping[str, str]) -> Column:
-        return F.col(f["device_id"]).rlike(f"^(?:{DEVICE_TYPES[self.kind]})")
+        return F.col(f["device_id"]).rlike(f"^(?:{DEVICE_TYPES[self.kind].replace('{vendor}', self.vendor)})")
 
 
 @dataclass(frozen=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 RATE_GUARD, ERROR = 0.20, 0.05
@@ -80,7 +80,7 @@ def unpack_legacy(packets: DataFrame, keys: Sequence[str], channels: Sequence[st
     return _back(df.where(F.col("next_ms").isNull() | (F.col("timestamp_ms") < F.col("next_ms"))), keys, channels, keep, ["timestamp_ms", "sampling_rate"])
 
 
-def unpack(packets: DataFrame, keys: Sequence[str], channels: Sequence[str], keep: Sequence[str] = (), on_rate: str = "error", drop_gaps: bool = False, exclude_first_rate: bool = False, error: float = ERROR) -> DataFrame:
+def unpack(packets: DataFrame, keys: Sequence[str], channels: Sequence[str], keep: Sequence[str] = (), on_rate: str = "error", drop_gaps: bool = False, exclude_first_rate: bool = False, error: float = ERROR, observation: Observation | None = None) -> DataFrame:
     """keys, timestamp_ms, channels, keep: one row for each sample, evenly spaced within each group of `keys`.
 
     Packets have start_ms (double), sampling_rate, true_ms (double?) and true_index (long?): sample true_index of the
@@ -91,17 +91,21 @@ def unpack(packets: DataFrame, keys: Sequence[str], channels: Sequence[str], kee
     A group without any true timestamp takes packet start plus length at its rate. A group with several sensor_ids is
     an error. Where the median differs by 20 % or more from the first packet's rate: `on_rate` 'error' raises, 'ignore'
     goes on, 'drop' leaves the group out (for unpack_legacy to take, see `rate_off`). Groups without a valid rate give
-    no rows. Values are computed relative to the group's start; no array longer than a packet is built. Groups should
+    no rows. After the result has been used, an `observation` has the number of groups whose rate is so far off as
+    median_fs_error. Values are computed relative to the group's start; no array longer than a packet is built. Groups should
     be windows of bounded size.
     """
     if on_rate not in ("error", "ignore", "drop"):
         raise ValueError("on_rate must be error, ignore or drop")
     packets, k, c, x = _renamed(packets, keys, channels, keep)
-    return _back(_unpack(packets, k, c, x, on_rate, drop_gaps, exclude_first_rate, error), keys, channels, keep, ["timestamp_ms"])
+    return _back(_unpack(packets, k, c, x, on_rate, drop_gaps, exclude_first_rate, error, observation), keys, channels, keep, ["timestamp_ms"])
 
 
-def _unpack(packets: DataFrame, keys: Sequence[str], channels: Sequence[str], keep: Sequence[str], on_rate: str, drop_gaps: bool, exclude_first_rate: bool, error: float) -> DataFrame:
+def _unpack(packets: DataFrame, keys: Sequence[str], channels: Sequence[str], keep: Sequence[str], on_rate: str, drop_gaps: bool, exclude_first_rate: bool, error: float, observation: Observation | None) -> DataFrame:
     df = anchored(packets, keys, channels, error, exclude_first_rate)
+    if observation is not None:
+        far = F.abs(F.col("median") - F.col("nominal")) / F.col("nominal") >= RATE_GUARD
+        df = df.observe(observation, F.count(F.when((F.col("order") == 1) & far, 1)).alias("median_fs_error"))
     off = F.abs(F.col("median") - F.col("nominal")) / F.col("nominal") >= RATE_GUARD
     if on_rate == "error":
         df = df.withColumn("median", F.when(F.coalesce(off, F.lit(False)), F.raise_error(F.lit("the sampling rate differs by 20 % or more from the nominal one")).cast("double")).otherwise(F.col("median")))
@@ -190,7 +194,8 @@ def unpack_signal(packets: DataFrame, signal: str, sensor_id: str | None = None,
     """Data points of the samples of a packed spec (a key of SIGNALS), one row each, with derived metadata.
 
     Packets are grouped by participant, device and window of their measurement time. With `sensor_id`, packets of other
-    sensors are left out; the packet's own sensor_id or its data source's counts, so `data_source` must be given.
+    sensors are left out; the packet's own sensor_id or its data source's counts, so `data_source` must be given. Groups
+    whose rate is off are handled as `on_rate` of unpack says; 'legacy' takes unpack_legacy for them.
     """
     from .keys import Fixed, key_by, key_time, measured
     from .metadata import derived_metadata
@@ -209,11 +214,12 @@ def unpack_signal(packets: DataFrame, signal: str, sensor_id: str | None = None,
     df = key_time(key_by(df, True, True), Fixed(window), measured())
     ms: Column = F.unix_micros("true_timestamp_millis") / 1000.0 if spec.true_is_timestamp else F.col("true_timestamp_millis").cast("double")
     p = df.select(*keys, (F.unix_micros("measurement_timestamp_utc") / 1000.0).alias("start_ms"), F.col("sampling_rate").cast("double").alias("sampling_rate"), "sensor_id", ms.alias("true_ms"), F.col("true_timestamp_sample_index").alias("true_index"), *channels)
+    plain = (lambda x: unpack_or_legacy(x, keys, channels)) if on_rate == "legacy" else (lambda x: unpack(x, keys, channels, on_rate=on_rate))
     if spec.legacy_device:
         old = F.coalesce(F.col("device_id").rlike(spec.legacy_device), F.lit(False))
-        out = unpack(p.where(~old), keys, channels, on_rate=on_rate).unionByName(unpack_legacy(p.where(old), keys, channels).drop("sampling_rate"))
+        out = plain(p.where(~old)).unionByName(unpack_legacy(p.where(old), keys, channels).drop("sampling_rate"))
     else:
-        out = unpack(p, keys, channels, on_rate=on_rate)
+        out = plain(p)
     meta = derived_metadata(df, keys)
     same = [F.col(f"o.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys]
     out = out.alias("o").join(meta.alias("m"), same)

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import timeutil as tu
 from ..operators import dedup, filters, frames, keys, metadata, unpack
 from ..operators import predicates as pr
-from ..sources.catalog import SensorTables, filter_rows, with_participants
-from ..sources.tables import load
+from ..schema import metadata as metadata_of
+from ..sources.catalog import BatchSource, RunState, SensorTables, StreamSource, filter_rows, with_participants
+from ..sources.tables import load, shared_folder
 
 D1, D2 = datetime(2019, 6, 5, tzinfo=timezone.utc), datetime(2019, 6, 9, 12, tzinfo=timezone.utc)
 DEVICES = ("pep2HSY2X000", "RLQYAV44B003", "PDVWC3G9C001")
@@ -376,10 +377,17 @@ def modal_utc_offset(spark: SparkSession, d: str) -> DataFrame:
     return metadata.modal_offset(ds, "device_id", "utc_offset_seconds")
 
 
-@query("with t as (select distinct n_nationkey % 14 as k from nation) select cast((k - 10) * 3600 as int) as utc_offset_seconds, ['Pacific/Honolulu', 'America/Anchorage', 'America/Los_Angeles', 'America/Denver', 'America/Chicago', 'America/New_York', 'America/Halifax', 'America/Sao_Paulo', 'America/Noronha', 'Atlantic/Azores', 'Europe/London', 'Europe/Paris', 'Europe/Athens', 'Europe/Moscow'][k + 1] as zone from t")
+def _offset_seconds(text: str) -> int:
+    return (1 if text[0] == "+" else -1) * (int(text[1:3]) * 3600 + int(text[4:]) * 60)
+
+
+ALL_OFFSETS = [(_offset_seconds(o), z) for o, z in tu.ZONE_OF_OFFSET.items()]
+
+
+@query(f"with t(k, utc_offset_seconds, zone) as (values {', '.join(f'({i}, {o}, {chr(39)}{z}{chr(39)})' for i, (o, z) in enumerate(ALL_OFFSETS))}) select p_partkey, utc_offset_seconds, zone from part join t on p_partkey % {len(ALL_OFFSETS)} = k")
 def readable_tz(spark: SparkSession, d: str) -> DataFrame:
-    k = load(spark, d, "nation").select(((F.col("n_nationkey") % 14 - 10) * 3600).cast("int").alias("utc_offset_seconds")).distinct()
-    return k.withColumn("zone", tu.readable_zone(F.col("utc_offset_seconds")))
+    offset = F.element_at(F.array(*[F.lit(o) for o, _ in ALL_OFFSETS]), (F.col("p_partkey") % len(ALL_OFFSETS) + 1).cast("int"))
+    return load(spark, d, "part").select("p_partkey", offset.alias("utc_offset_seconds")).withColumn("zone", tu.readable_zone(F.col("utc_offset_seconds")))
 
 
 DUP = ["device_id", "data_spec", "measured_us"]
@@ -674,6 +682,358 @@ def stream_window_count(spark: SparkSession, d: str) -> DataFrame:
     return last_rows(run_to_end(hourly_counts(stream), "hours", "update"), ["device_id", "start_us"])
 
 
+# More of each part ------------------------------------------------------------------------------------------------
+
+
+@query("select 'all' as which, count(*) as n from datapoint union all select 'none', 0")
+def cond_constants(spark: SparkSession, d: str) -> DataFrame:
+    parts = [c.apply(pts(spark, d)).agg(F.lit(name).alias("which"), F.count(F.lit(1)).alias("n")) for name, c in (("all", pr.Everything()), ("none", pr.Nothing()))]
+    return frames.union_frames(parts)
+
+
+@query(simple(f"t > {us(D1)} and t <= {us(D2)} and device_id in {DEVICES}"))
+def cond_messages(spark: SparkSession, d: str) -> DataFrame:
+    m = pts(spark, d).select("row_id", "data_point_metadata.device_id", "data_point_metadata.participant_id", F.col("measurement_timestamp_utc").alias("start_time"))
+    return ids((pr.TimeRange(D1, D2) & pr.Devices(DEVICES)).apply(m, "messages"))
+
+
+@query(f"with {ANN} select annotation_id from ann where s >= {us(D1)} and e <= {us(D2)}")
+def cond_annotation_contained(spark: SparkSession, d: str) -> DataFrame:
+    return pr.TimeRange(D1, D2, contained=True).apply(load(spark, d, "annotation"), "annotations").select("annotation_id")
+
+
+VENDOR = "[a-z]+"
+
+
+@query(f"with {PTS}, types as (select * from (values " + ", ".join(f"('{k}', '^(?:{v.replace('{vendor}', VENDOR)})')" for k, v in pr.DEVICE_TYPES.items()) + ") as t(kind, pattern)) select kind, row_id from pts join types on regexp_matches(device_id, pattern)")
+def cond_device_types(spark: SparkSession, d: str) -> DataFrame:
+    return frames.union_frames([pr.DeviceType(k).apply(pts(spark, d)).select(F.lit(k).alias("kind"), "row_id") for k in pr.DEVICE_TYPES])
+
+
+TABLES = ("annotation", "data_source", "datapoint", "filter_range", "incremental_run", "unpacked_eda", "unpacked_imu", "unpacked_ppg")
+
+
+@query(f"select table_name as name, count(*) as fields from information_schema.columns where table_name in {TABLES} group by 1")
+def tables_and_schemas(spark: SparkSession, d: str) -> DataFrame:
+    t = SensorTables(spark, d)
+    return spark.createDataFrame([(n, len(t.schema(n))) for n in t.tables() if n in TABLES], "name string, fields long")
+
+
+@query("select data_spec_name, 2 * count(*) as n from datapoint group by 1")
+def sink_append(spark: SparkSession, d: str) -> DataFrame:
+    t = SensorTables(spark, shared_folder(spark, "sink"))
+    for _ in range(2):
+        t.append(pts(spark, d), "datapoint")
+    return t.table("datapoint").groupBy("data_spec_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {PTS} select distinct device_id, data_source_id, data_spec_name, t as measured_us, rate, confidence from pts")
+def source_without_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    m = F.col("data_point_metadata")
+    df = BatchSource().read(SensorTables(spark, d))
+    return df.select(m["device_id"].alias("device_id"), m["data_source_id"].alias("data_source_id"), "data_spec_name", F.unix_micros("measurement_timestamp_utc").alias("measured_us"), "rate", F.coalesce("confidence", F.lit(-1)).alias("confidence"))
+
+
+@query("select row_id from datapoint")
+def source_stream(spark: SparkSession, d: str) -> DataFrame:
+    from ..streaming.replay import run_to_end
+
+    folder = shared_folder(spark, "topic")
+    pts(spark, d).write.parquet(folder)
+    return run_to_end(StreamSource(topic=folder).read(spark, pts(spark, d).schema).select("row_id"), "rows").drop("batch")
+
+
+@query(f"select registry, epoch_us(max(write_end_time)) as start_us, {us(D2)} as end_us from incremental_run where registry is not null and write_end_time is not null group by registry")
+def run_state(spark: SparkSession, d: str) -> DataFrame:
+    """The next range of each registry once the end of its last window is committed (a row for each registry)."""
+    folder = shared_folder(spark, "state")
+    log = load(spark, d, "incremental_run").where("registry is not null and write_end_time is not null").groupBy("registry").agg(F.unix_micros(F.max("write_end_time")).alias("us"))
+    rows = []
+    for r in log.collect():  # bounded by the registries
+        state = RunState(spark, folder, f"r{abs(us(D1))}-{len(rows)}")
+        state.commit(D1)
+        state.commit(datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=r["us"]))
+        a, b = state.next_range(D2)
+        rows.append((r["registry"], us(a), us(b)))
+    return spark.createDataFrame(rows, "registry string, start_us long, end_us long")
+
+
+@query(f"""with {PTS}, {ANN}, {SRC}, f as (select device_id, s, e, case when annotation_id % 2 = 0 then '0' end as sensor from ann where annotation_label = 'on_wrist')
+  select row_id from pts p left join src using (data_source_id) where exists (select 1 from f where f.device_id = p.device_id and (f.s is null or f.s <= p.t) and (f.e is null or p.t < f.e) and (f.sensor is null or f.sensor = src.sensor_id))""")
+def filter_supplemental(spark: SparkSession, d: str) -> DataFrame:
+    a = load(spark, d, "annotation").where("annotation_label = 'on_wrist'").withColumn("supplemental_source_sensor_id", F.when(F.col("annotation_id") % 2 == 0, "0"))
+    return ids(filters.apply_filters(flat_points(spark, d), [filters.data_filter(filter_rows(a).drop("data_spec"), "f", True)], ["f"]))
+
+
+@query(f"with {PTS}, {ANN} select count(*) as rows_removed from pts p where not {covers('on_wrist')}")
+def filter_counter(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Observation
+
+    o = Observation("filter")
+    filters.apply_filters(flat_points(spark, d), [label_filter(spark, d, "on_wrist", True)], ["on_wrist"], o).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(o.get["rows_removed"],)], "rows_removed long")
+
+
+@query(f"with {PTS} select data_spec_name as spec, device_id, participant_id, participant_namespace, {COUNTS} from pts group by 1, 2, 3, 4")
+def key_additional(spark: SparkSession, d: str) -> DataFrame:
+    return counted(keys.key_by(pts(spark, d), True, True, additional={"spec": F.col("data_spec_name")}), [*ENTITY, "spec"])
+
+
+OFFSETS = """offs as (select device_id, cast(case when zone[1] = '-' then -1 else 1 end * (cast(zone[2:3] as int) * 3600 + cast(zone[5:6] as int) * 60) as int) as off from
+  (select device_serial_number as device_id, max(device_time_zone_name) as zone from data_source where regexp_full_match(device_time_zone_name, '[+-](0\\d|1[0-8]):[0-5]\\d') group by 1) x)"""
+
+
+@query(f"with {PTS}, {OFFSETS} select row_id, t + coalesce(off, 0) * 1000000 as local_us from pts left join offs using (device_id) where device_id is not null")
+def local_by_offset(spark: SparkSession, d: str) -> DataFrame:
+    from ..functions.zones import fixed_offset
+
+    df = keys.key_by(pts(spark, d)).where("device_id is not null")
+    own = load(spark, d, "data_source").where(F.col("device_time_zone_name").rlike(tu.OFFSET)).groupBy(F.col("device_serial_number").alias("device_id")).agg(fixed_offset(F.max("device_time_zone_name")).alias("o"))
+    every = df.select("device_id").distinct().join(own, "device_id", "left").select("device_id", F.coalesce("o", F.lit(0)).alias("utc_offset_seconds"))
+    return keys.with_offsets(df, every).select("row_id", F.unix_micros(keys.local_time(keys.measured(), offset_seconds=F.col("utc_offset_seconds"))).alias("local_us"))
+
+
+def annotation_local_sql(c: str, zone: str) -> str:
+    return f"""with {ANN}, {ZONES}, a as (select device_id, {c} as t from ann where {c} is not null), l as (select a.device_id, {zone} as t from a left join zones z on z.device_id = a.device_id)
+      select device_id, t // {6 * HOUR} * {6 * HOUR} as start_time_range_micros, (t // {6 * HOUR} + 1) * {6 * HOUR} as end_time_range_micros, count(*) as n from l group by 1, 2, 3"""
+
+
+def annotation_local(df: DataFrame, which: str, zone: Column) -> DataFrame:
+    g = frames.build_frames(df, keys.Fixed("6 hours"), zone, annotations=which, by_participant=False)
+    return g.df.groupBy("device_id", *WINDOW).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(annotation_local_sql("s", "epoch_us(timezone('Australia/Adelaide', make_timestamptz(t)))"))
+def annotation_window_fixed_tz(spark: SparkSession, d: str) -> DataFrame:
+    return annotation_local(load(spark, d, "annotation"), "start", F.lit("Australia/Adelaide"))
+
+
+@query(annotation_local_sql("e", LOCAL))
+def annotation_window_local_tz(spark: SparkSession, d: str) -> DataFrame:
+    zones = device_zone(spark, d).withColumnRenamed("device_id", "_d")
+    df = load(spark, d, "annotation")
+    return annotation_local(df.join(zones, F.col("annotation_metadata.device_id") == F.col("_d"), "left"), "end", F.coalesce("zone", F.lit("UTC")))
+
+
+# Frames
+
+
+def frame_sizes(f: pd.DataFrame) -> dict:
+    """The key of a frame, from its attrs, and its size."""
+    a = f.attrs
+    return {"device_id": a["device_id"], "participant_id": a["participant_id"], "participant_namespace": -1 if a["participant_namespace"] is None else a["participant_namespace"], **{k: a[k] for k in WINDOW if k in a}, "n": len(f)}
+
+
+SIZES = "device_id string, participant_id string, participant_namespace long, n long"
+WINDOW_SIZES = SIZES + ", start_time_range_micros long, end_time_range_micros long"
+FRAMES = "device_id, participant_id, participant_namespace"
+
+
+def frame_windows_sql(expr: str, size: int, extra: str = "", join: str = "") -> str:
+    return f"""with {PTS}{extra}, w as (select pts.device_id, participant_id, participant_namespace, {expr} as s from pts {join})
+      select {FRAMES}, s as start_time_range_micros, s + {size} as end_time_range_micros, count(*) as n from w group by {FRAMES}, s"""
+
+
+def slim_points(spark: SparkSession, d: str) -> DataFrame:
+    return pts(spark, d).select("row_id", "data_point_metadata", "measurement_timestamp_utc", "rate").withColumn("data_point_metadata", F.col("data_point_metadata").withField("annotation_labels", F.array().cast("array<string>")))
+
+
+@query(frame_windows_sql(f"t // {HOUR} * {HOUR}", HOUR))
+def frames_window(spark: SparkSession, d: str) -> DataFrame:
+    return frames.build_frames(slim_points(spark, d), keys.Fixed("1 hour")).apply(frame_sizes, WINDOW_SIZES)
+
+
+@query(frame_windows_sql(f"epoch_us(timezone('Asia/Tokyo', make_timestamptz(t))) // {24 * HOUR} * {24 * HOUR}", 24 * HOUR))
+def frames_window_in_zone(spark: SparkSession, d: str) -> DataFrame:
+    return frames.build_frames(slim_points(spark, d), keys.Fixed("1 day"), F.lit("Asia/Tokyo")).apply(frame_sizes, WINDOW_SIZES)
+
+
+@query(frame_windows_sql(f"({LOCAL}) // {24 * HOUR} * {24 * HOUR}", 24 * HOUR, f", {ZONES}", "left join zones z on z.device_id = pts.device_id"))
+def frames_window_local(spark: SparkSession, d: str) -> DataFrame:
+    zones = device_zone(spark, d).withColumnRenamed("device_id", "_d")
+    df = slim_points(spark, d).join(zones, F.col("data_point_metadata.device_id") == F.col("_d"), "left").drop("_d")
+    return frames.build_frames(df, keys.Fixed("1 day"), F.coalesce("zone", F.lit("UTC"))).apply(frame_sizes, WINDOW_SIZES)
+
+
+@query(f"with {PTS} select {FRAMES}, count(*) as n from pts group by all")
+def frames_entity(spark: SparkSession, d: str) -> DataFrame:
+    """Rows by participant and device, as the builder keys them; the groups aren't gathered."""
+    g = frames.build_frames(pts(spark, d))
+    return g.df.groupBy(*g.keys).agg(F.count(F.lit(1)).alias("n")).withColumn("participant_namespace", F.coalesce("participant_namespace", F.lit(-1)))
+
+
+@query(f"with {ANN} select {FRAMES}, count(*) as n from ann group by all")
+def frames_annotations(spark: SparkSession, d: str) -> DataFrame:
+    g = frames.build_frames(load(spark, d, "annotation"), annotations="start")
+    return g.df.groupBy(*g.keys).agg(F.count(F.lit(1)).alias("n")).withColumn("participant_namespace", F.coalesce("participant_namespace", F.lit(-1)))
+
+
+def frame_metadata(f: pd.DataFrame) -> dict:
+    a, m = f.attrs, f.attrs["data_point_metadata"]
+    written = (m["sensor_store_metadata"] or {}).get("sensor_store_write_time")
+    return {"device_id": a["device_id"], "start_us": a["start_time_range_micros"], "data_source_id": -1 if m["data_source_id"] is None else m["data_source_id"], "participant_id": m["participant_id"], "written_us": -1 if written is None else pd.Timestamp(written).value // 1000, "labels": ",".join(m["annotation_labels"])}
+
+
+@query(S["derived_metadata"])
+def frames_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """derived_metadata as the frames of user functions have it."""
+    g = frames.build_frames(pts(spark, d), keys.Fixed("1 hour"), by_participant=False)
+    return g.apply(frame_metadata, "device_id string, start_us long, data_source_id long, participant_id string, written_us long, labels string")
+
+
+def tagged_points(spark: SparkSession, d: str, *tags: str) -> dict[str, DataFrame]:
+    out = {}
+    for tag in tags:
+        table, c = SENSORS[tag]
+        df = load(spark, d, table).groupBy(F.col("data_point_metadata.device_id").alias("dev"), F.date_trunc("second", "measurement_timestamp_utc").alias("measurement_timestamp_utc")).agg(F.max(c).alias("value"))
+        out[tag] = df.select(metadata_of(F.col("dev")).alias("data_point_metadata"), "measurement_timestamp_utc", "value")
+    return out
+
+
+COMBINED = f"a as (select device_id, at_us // 1000000 as s, max(value) as value from ({tag_sql('imu')}) x group by all), b as (select device_id, at_us // 1000000 as s, max(value) as value from ({tag_sql('eda')}) x group by all)"
+
+
+@query(f"with {COMBINED}, u as (select * from a union all select * from b) select device_id, s // 3600 * {HOUR} as start_us, count(*) as n, count(value) as n_value from u group by 1, 2")
+def frames_concat(spark: SparkSession, d: str) -> DataFrame:
+    g = frames.build_frames(tagged_points(spark, d, "imu", "eda"), keys.Fixed("1 hour"), combine="concat")
+    return g.apply(lambda f: {"device_id": f.attrs["device_id"], "start_us": f.attrs["start_time_range_micros"], "n": len(f), "n_value": f["value"].count()}, "device_id string, start_us long, n long, n_value long")
+
+
+@query(f"with {COMBINED}, u as (select coalesce(a.device_id, b.device_id) as device_id, coalesce(a.s, b.s) as s, a.value as x, b.value as y from a full join b on a.device_id is not distinct from b.device_id and a.s = b.s) select device_id, s // 3600 * {HOUR} as start_us, count(*) as n, count(x) as n_imu, count(y) as n_eda from u group by 1, 2")
+def frames_merge(spark: SparkSession, d: str) -> DataFrame:
+    g = frames.build_frames(tagged_points(spark, d, "imu", "eda"), keys.Fixed("1 hour"), combine="merge")
+    return g.apply(lambda f: {"device_id": f.attrs["device_id"], "start_us": f.attrs["start_time_range_micros"], "n": len(f), "n_imu": f["value_imu"].count(), "n_eda": f["value_eda"].count()}, "device_id string, start_us long, n long, n_imu long, n_eda long")
+
+
+@query(f"with {PTS} select row_id, rate * 2 as doubled from pts where rate > 60")
+def batches_mapped(spark: SparkSession, d: str) -> DataFrame:
+    return frames.map_batches(pts(spark, d).select("row_id", "rate"), lambda f: f[f["rate"] > 60].assign(doubled=lambda x: x["rate"] * 2)[["row_id", "doubled"]], "row_id long, doubled double")
+
+
+@query("""with m as (select row_id, data_point_metadata.device_id as device_id, epoch_us(measurement_timestamp_utc) as at_us, sqrt(acceleration_x ** 2 + acceleration_y ** 2 + acceleration_z ** 2) as g from unpacked_imu where acceleration_x is not null),
+  w as (select *, count(*) over v as k, avg(g) over v as m, stddev_samp(g) over v as sd from m window v as (partition by device_id, at_us // 3600000000 order by at_us, row_id rows 99 preceding))
+  select row_id, case when k = 100 then round(m, 2) end as mean, case when k = 100 then round(sd, 2) end as sd from w""")
+def rolling_magnitude(spark: SparkSession, d: str) -> DataFrame:
+    """The mean and deviation of the last 100 magnitudes of acceleration within an hour, by a window function."""
+    from pyspark.sql import Window
+
+    g = F.sqrt(sum((F.col(f"acceleration_{x}") ** 2 for x in "yz"), F.col("acceleration_x") ** 2))
+    df = load(spark, d, "unpacked_imu").where("acceleration_x is not null").select("row_id", F.col("data_point_metadata.device_id").alias("device_id"), F.unix_micros("measurement_timestamp_utc").alias("at_us"), g.alias("g"))
+    w = Window.partitionBy("device_id", F.floor(F.col("at_us") / HOUR)).orderBy("at_us", "row_id").rowsBetween(-99, 0)
+    full = lambda c: F.when(F.count(F.lit(1)).over(w) == 100, F.round(c.over(w), 2))
+    return df.select("row_id", full(F.avg("g")).alias("mean"), full(F.stddev_samp("g")).alias("sd"))
+
+
+# Unpacking of signals
+
+
+def signal_packets(spark: SparkSession, d: str, signal: str, rate: float = 64.0, prefix: str | None = None) -> DataFrame:
+    """The packets as a packed spec's table, each also from another sensor."""
+    spec = unpack.SIGNALS[signal]
+    p = packets(spark, d)
+    device = p["device"].cast("string") if prefix is None else F.concat(F.when(p["device"] % 2 == 0, prefix).otherwise("dev"), p["device"].cast("string"))
+    true = F.timestamp_micros(F.round(p["true_ms"] * 1000).cast("long")) if spec.true_is_timestamp else p["true_ms"]
+    value = F.transform("value", lambda x: x * 100)
+    rows = p.select(metadata_of(device).alias("data_point_metadata"), F.timestamp_millis(F.col("start_ms").cast("long")).alias("measurement_timestamp_utc"), F.lit(rate).alias("sampling_rate"), true.alias("true_timestamp_millis"), F.col("true_index").alias("true_timestamp_sample_index"), *[value.alias(c) for c in (*spec.channels, *spec.optional)])
+    return rows.withColumn("sensor_id", F.lit("0")).unionByName(rows.withColumn("sensor_id", F.lit("2")))
+
+
+def signal_summary(spark: SparkSession, d: str, signal: str, channel: str, prefix: str | None = None, **how: object) -> DataFrame:
+    out = unpack.unpack_signal(signal_packets(spark, d, signal, prefix=prefix, **{k: v for k, v in how.items() if k == "rate"}), signal, "0", load(spark, d, "data_source"), **{k: v for k, v in how.items() if k != "rate"})
+    return summary(out.select(F.col("data_point_metadata.device_id").alias("device"), (F.unix_micros("measurement_timestamp_utc") / 1000.0).alias("timestamp_ms"), (F.col(channel) / 100).alias("value")))
+
+
+def signal_sql(sql: str, value: str = "cast(x as double)", device: str = "cast(label as varchar)") -> str:
+    return sql.replace("cast(x as double) as value", f"{value} as value").replace("cast(unnest(value) as double) as value", "unnest(value) as value").replace("label as device", f"{device} as device")
+
+
+GAPS_SQL = S["unpack_gaps"]
+
+
+@query(signal_sql(GAPS_SQL))
+def unpack_imu_gyro(spark: SparkSession, d: str) -> DataFrame:
+    return signal_summary(spark, d, "imu", "gyro_x")
+
+
+@query(signal_sql(GAPS_SQL))
+def unpack_ppg(spark: SparkSession, d: str) -> DataFrame:
+    return signal_summary(spark, d, "ppg", "green")
+
+
+@query(signal_sql(GAPS_SQL))
+def unpack_two_channel_ppg(spark: SparkSession, d: str) -> DataFrame:
+    return signal_summary(spark, d, "two_channel_ppg", "green_2")
+
+
+@query(signal_sql(GAPS_SQL))
+def unpack_picard_eda(spark: SparkSession, d: str) -> DataFrame:
+    return signal_summary(spark, d, "picard_eda", "z2_adc")
+
+
+@query(signal_sql(GAPS_SQL, "trunc(cast(x as double) * 100) / 100"))
+def unpack_ecg(spark: SparkSession, d: str) -> DataFrame:
+    return signal_summary(spark, d, "ecg", "raw_adc")
+
+
+C2Q = "case when label % 2 = 0 then 'C2Q' else 'dev' end || label"
+
+
+@query(f"select * from ({signal_sql(GAPS_SQL, device=C2Q)}) x where device like 'dev%' union all select * from ({signal_sql(S['unpack_legacy'], device=C2Q)}) y where device like 'C2Q%'")
+def unpack_eda_with_legacy(spark: SparkSession, d: str) -> DataFrame:
+    return signal_summary(spark, d, "eda", "raw_adc", "C2Q")
+
+
+@query(signal_sql(GAPS_SQL))
+def unpack_rate_ignored(spark: SparkSession, d: str) -> DataFrame:
+    return signal_summary(spark, d, "ppg", "green", rate=32.0, on_rate="ignore")
+
+
+@query(signal_sql(S["unpack_legacy"].replace("1000.0 / 64", "1000.0 / 32")))
+def unpack_rate_legacy(spark: SparkSession, d: str) -> DataFrame:
+    return signal_summary(spark, d, "ppg", "green", rate=32.0, on_rate="legacy")
+
+
+@query("select count(distinct label) as median_fs_error from embeddings")
+def unpack_rate_counter(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Observation
+
+    o = Observation("rates")
+    unpack.unpack(packets(spark, d).withColumn("sampling_rate", F.lit(32.0)), ["device"], ["value"], on_rate="ignore", observation=o).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(o.get["median_fs_error"],)], "median_fs_error long")
+
+
+@query("select label as device, vec_id, 64 as n from embeddings")
+def unpack_kept_columns(spark: SparkSession, d: str) -> DataFrame:
+    return unpack.unpack(packets(spark, d, gaps=False), ["device"], ["value"], keep=["vec_id"]).groupBy("device", "vec_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Scalars
+
+
+@query(f"with {PTS} select row_id, t // 1000 as ms, t // 1000 * 1000 as from_ms, t // 1000 as text_ms, case when row_id % 10 = 0 then 9223372036854775 else t end as warehouse_us, t // 1000 * 1000 as filter_us from pts")
+def scalar_times(spark: SparkSession, d: str) -> DataFrame:
+    t = keys.measured()
+    ms = tu.millis(t)
+    text = F.concat(F.date_format(t, "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(" UTC"))
+    stored = F.when(F.col("row_id") % 10 == 0, tu.UNBOUNDED_US).otherwise(F.unix_micros(t))
+    return pts(spark, d).select("row_id", tu.required(ms, "time").alias("ms"), F.unix_micros(tu.from_millis(ms)).alias("from_ms"), tu.time_text_millis(text).alias("text_ms"), F.unix_micros(tu.parse_warehouse(stored)).alias("warehouse_us"), F.unix_micros(tu.filter_time(ms, "bigint")).alias("filter_us"))
+
+
+@query("select row_id, data_point_metadata.device_id as device_id, data_point_metadata.participant_id as participant_id, coalesce(array_to_string(list_sort(list_distinct(data_point_metadata.annotation_labels)), ','), '') as labels, coalesce(epoch_us(data_point_metadata.sensor_store_metadata.sensor_store_write_time), -1) as written_us, rate from datapoint")
+def raw_to_datapoints(spark: SparkSession, d: str) -> DataFrame:
+    from ..schema import metadata as built
+
+    m = F.col("data_point_metadata")
+    made = built(m["device_id"], m["data_source_id"], m["participant_id"], m["participant_namespace"], m["sensor_store_metadata"]["sensor_store_write_time"], F.coalesce(m["annotation_labels"], F.array().cast("array<string>")))
+    x = F.col("made")
+    return pts(spark, d).select("row_id", made.alias("made"), "rate").select("row_id", x["device_id"].alias("device_id"), x["participant_id"].alias("participant_id"), F.array_join(x["annotation_labels"], ",").alias("labels"), F.coalesce(F.unix_micros(x["sensor_store_metadata"]["sensor_store_write_time"]), F.lit(-1)).alias("written_us"), "rate")
+
+
+@query("select s_suppkey, 'https://console.example.org/jobs/eu-west/job-' || s_suppkey as url from supplier")
+def job_urls(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "supplier").select("s_suppkey", tu.job_url("https://console.example.org/jobs/", F.lit("eu-west"), F.concat(F.lit("job-"), F.col("s_suppkey").cast("string"))).alias("url"))
+
+
 def queries() -> dict:
     return dict(Q)
 

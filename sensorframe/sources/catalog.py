@@ -101,10 +101,13 @@ def remove_redelivered(points: DataFrame, device: str = "data_point_metadata.dev
 
 
 def filter_rows(annotation: DataFrame) -> DataFrame:
-    """device_id, start_us, end_us and the data_spec that the first input of an annotation names (null: any)."""
+    """device_id, start_us, end_us and the data_spec that the first input of an annotation names (null: any); of the
+    supplemental source columns (see supplemental) those that are keys of filters, too."""
+    annotation = supplemental(annotation)
+    keys = [c for c in ("sensor_id", "algorithm_name", "algorithm_version") if c in annotation.columns]
     return annotation.select(
         F.col("annotation_metadata.device_id").alias("device_id"), F.unix_micros("start_timestamp_utc").alias("start_us"), F.unix_micros("end_timestamp_utc").alias("end_us"),
-        F.get("annotation_metadata.input_data_info", F.lit(0))["metric_type"]["stream_item_type"].alias("data_spec"),
+        F.get("annotation_metadata.input_data_info", F.lit(0))["metric_type"]["stream_item_type"].alias("data_spec"), *keys,
     )
 
 

@@ -36,7 +36,7 @@ def points(spark, rows, extra=""):
     ("zone", "day"),
     [("US/Pacific", "2019-09-29"), ("-07:00", "2019-09-29"), ("-00:15", "2019-09-29")] + [(z, "2019-09-30") for z in ("Area/51", "+05:00", "30:00", "-80:00", "00:15", "00:80", "-00:80", "00:00", "", "+29:69", None)],
 )
-def test_date_in_zone(spark, zone, day):
+def test_date_in_zone(spark, zone, day):  # fixed values: what these texts must give
     at = F.lit(datetime(2019, 9, 30, 0, 10, 10, 125000, tzinfo=UTC))
     assert row_of(spark, x=tu.date_in_zone(at, F.lit(zone).cast("string"))).x == day
 
@@ -305,6 +305,24 @@ def test_frames(spark):
     assert frames.map_batches(df, lambda f: f[f.v > 1], "k string, v int").count() == 2
 
 
+def test_frames_have_metadata(spark):
+    at = lambda h: datetime(2024, 1, 1, h, tzinfo=UTC)
+    rows = [("d", 12345, "p", 1, at(2), ["b"], at(12)), ("d", 12345, None, None, at(5), ["a", "b"], at(13)), ("d", 54321, None, None, None, None, at(11)), ("e", None, None, None, None, [], at(3))]
+    g = frames.build_frames(points(spark, rows), by_participant=False)
+
+    def seen(f):
+        m = f.attrs["data_point_metadata"]
+        return {"d": f.attrs["device_id"], "s": m["data_source_id"], "p": m["participant_id"], "w": str((m["sensor_store_metadata"] or {}).get("sensor_store_write_time")), "l": m["annotation_labels"]}
+
+    got = {r.d: r for r in g.apply(seen, "d string, s long, p string, w string, l array<string>").collect()}
+    assert (got["d"].s, got["d"].p, got["d"].l) == (54321, "p", ["a", "b"]) and got["d"].w.startswith("2024-01-01 05:00:00") and (got["e"].s, got["e"].p, got["e"].l, got["e"].w) == (None, None, [], "None")
+    mixed = points(spark, [("d", 1, "p", 1, None, [], T0), ("d", 1, "q", 1, None, [], T0)])
+    with pytest.raises(Exception, match="several participants"):
+        frames.build_frames(mixed, by_participant=False).apply(seen, "d string").collect()
+    with pytest.raises(ValueError):
+        frames.build_frames({"a": mixed}, combine="zip")
+
+
 def test_combine(spark):
     a = spark.createDataFrame([("d", 1, 10), ("d", 2, 20), (None, 1, 5)], "k string, t int, v int")
     b = spark.createDataFrame([("d", 2, 200), ("d", 3, 300), (None, 1, 6)], "k string, t int, v int")

@@ -783,7 +783,7 @@ OFFSETS = """offs as (select device_id, cast(case when zone[1] = '-' then -1 els
   (select device_serial_number as device_id, max(device_time_zone_name) as zone from data_source where regexp_full_match(device_time_zone_name, '[+-](0\\d|1[0-8]):[0-5]\\d') group by 1) x)"""
 
 
-@query(f"with {PTS}, {OFFSETS} select row_id, t + coalesce(off, 0) * 1000000 as local_us from pts left join offs using (device_id) where device_id is not null")
+@query(f"with {PTS}, {OFFSETS} select row_id, t + coalesce(off, 0)::bigint * 1000000 as local_us from pts left join offs using (device_id) where device_id is not null")
 def local_by_offset(spark: SparkSession, d: str) -> DataFrame:
     from ..functions.zones import fixed_offset
 

@@ -52,7 +52,7 @@ def _by_year() -> list[tuple]:
     for zone, a, b, off in offset_intervals():
         for y in range(year_of(a + off - 2 * 86400), year_of(b + off + 2 * 86400) + 1):
             rows.setdefault((zone, y), []).append((a + off, b + off, off))
-    return [(z, y, spans) for (z, y), spans in rows.items()]
+    return [(z, y, sorted(spans, key=lambda x: x[1])) for (z, y), spans in rows.items()]
 
 
 def zone_table(spark: SparkSession) -> DataFrame:
@@ -63,15 +63,21 @@ def zone_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(_by_year(), "zone string, year int, spans array<struct<a: bigint, b: bigint, off: int>>")
 
 
+def most_spans() -> int:
+    """The greatest number of offset intervals near a year, over all zones and years."""
+    return max(len(spans) for _, _, spans in _by_year())
+
+
 def wall_offset(wall_s: Column, spans: Column) -> Column:
     """The offset for a wall-clock second, from the intervals as-of it.
 
     One interval holds it: its offset. Two do (the clock was put back): the earlier instant. None does (put forward):
-    the offset before the change.
+    the offset before the change. Intervals are looked at one by one, in plain expressions.
     """
-    held = F.filter(spans, lambda x: (x["a"] <= wall_s) & (wall_s < x["b"]))
-    passed = F.filter(spans, lambda x: x["b"] <= wall_s)
-    return F.coalesce(F.array_max(F.transform(held, lambda x: x["off"])), F.array_max(F.transform(passed, lambda x: F.struct(x["b"], x["off"])))["off"], F.element_at(spans, 1)["off"])
+    each = [F.get(spans, F.lit(i)) for i in range(max(most_spans(), 2))]
+    held = F.greatest(*[F.when((x["a"] <= wall_s) & (wall_s < x["b"]), x["off"]) for x in each])  # passes over nulls
+    passed = [F.when(x["b"] <= wall_s, x["off"]) for x in reversed(each)]
+    return F.coalesce(held, *passed, each[0]["off"])
 
 
 def wall_kind(wall_s: Column, spans: Column) -> Column:
